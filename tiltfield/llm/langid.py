@@ -87,13 +87,14 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, keep_words: int = KEE
     kept = (
         _counts(sample).withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= F.when(F.col("g") == 0, keep_words).otherwise(keep_grams))
-        .select("lang", "g", "w", "n").collect()
+        .select("lang", "g", "w", "n").toArrow()
     )
-    langs = tuple(sorted({row.lang for row in kept}))
+    columns = [kept.column(c).to_pylist() for c in ("lang", "g", "w", "n")]
+    langs = tuple(sorted(set(columns[0])))
     at = {lang: i for i, lang in enumerate(langs)}
     counts: dict[int, dict[str, list[int]]] = {g: {} for g in (0, *GRAMS)}
-    for row in kept:
-        counts[row.g].setdefault(row.w, [0] * len(langs))[at[row.lang]] = row.n
+    for lang, g, w, n in zip(*columns):
+        counts[g].setdefault(w, [0] * len(langs))[at[lang]] = n
 
     def logs(table: dict[str, list[int]]) -> dict[str, tuple[float, ...]]:
         totals = [sum(v[i] for v in table.values()) + HALF * len(table) for i in range(len(langs))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, mixing, ngramjoin, substrings, topk, urlfilter
+from . import bpe, fingerprints, langid, mixing, ngramjoin, substrings, topk, toxicity, urlfilter
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_substrings(spark, sf_dir):
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_fingerprints, op4_topk, op5_bpe, op7_substrings, op8_url_filter, op9_ngram_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_fingerprints, op4_topk, op5_bpe, op6_toxicity, op7_substrings, op8_url_filter, op9_ngram_join, op10_mixing)}
 ORACLE_SQL = {
     "op2_language_id": langid.ORACLE,
     "op4_topk": topk.ORACLE,
