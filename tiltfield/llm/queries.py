@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, mixing, ngramjoin, substrings, topk, toxicity, urlfilter
+from . import bpe, fingerprints, langid, lmscore, mixing, ngramjoin, substrings, topk, toxicity, urlfilter
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark, sf_dir):
+    return lmscore.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_fingerprints, op4_topk, op5_bpe, op6_toxicity, op7_substrings, op8_url_filter, op9_ngram_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_fingerprints, op4_topk, op5_bpe, op6_toxicity, op7_substrings, op8_url_filter, op9_ngram_join, op10_mixing)}
 ORACLE_SQL = {
     "op2_language_id": langid.ORACLE,
     "op4_topk": topk.ORACLE,
