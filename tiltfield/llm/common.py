@@ -123,18 +123,36 @@ class HashCache(dict):
         return value
 
 
-class WordCache(dict):
-    """White-space token -> hashes of its lower-cased letter and digit runs."""
+@functools.lru_cache(maxsize=1)
+def _letters_and_digits() -> np.ndarray:
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, token):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[token] = tuple((xxhash.xxh3_64_intdigest(w), len(w)) for w in _WORD.findall(token.lower()))
-        return value
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths of all texts' words (see words_of) on end; where each text's begin, and the end.
+
+    All words at once, character by character: the k-th step takes in the k-th character of
+    the words that are long enough.
+    """
+    low = [t.lower() for t in texts]
+    flat = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(flat) + 2, np.int8)
+    inside[1:-1] = _letters_and_digits()[flat]
+    edge = np.diff(inside)
+    first, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size -= first
+    order = np.argsort(size.astype(np.uint16) if len(size) and size.max() < 65536 else size, kind="stable")[::-1]
+    at, length = first[order], size[order]
+    h = np.full(len(at), 0x51ED270B, np.uint64)
+    shorter = -length
+    for k in range(int(length[0]) if len(length) else 0):
+        longer = int(np.searchsorted(shorter, -k))  # words of more than k characters
+        h[:longer] = (h[:longer] ^ flat[at[:longer] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h[:longer] ^= h[:longer] >> np.uint64(29)
+    out = np.empty(len(at), np.uint64)
+    out[order] = mix(h)
+    begin = np.cumsum([0] + [len(t) + 1 for t in low])
+    return out, size, np.searchsorted(first, begin)
 
 
 def words_of(text: str) -> list[str]:

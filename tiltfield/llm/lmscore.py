@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, get_blob, put_blob, shared_dir, slices
+from .common import get_blob, put_blob, shared_dir, slices, word_hashes
 from .eliasfano import EliasFano, pack, unpack
 
 MIN_COUNT, DISCOUNT = 2, 0.75
@@ -103,7 +103,6 @@ class Reader:
         self.split_word = np.array(words, np.int64)
         self.split_bow = np.array([trie.split[w][0] for w in words])
         self.split_node = np.array([trie.split[w][1] for w in words], np.int64)
-        self.ids: dict = {}
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of word hashes (int64), -1 for words without a node."""
@@ -203,38 +202,12 @@ def _by(shard: np.ndarray):
         yield int(shard[part[0]]), part
 
 
-class _Ids(dict):
-    """White-space token -> tuple of word ids; bounded."""
-
-    def __init__(self, reader: Reader, limit: int = 300_000):
-        super().__init__()
-        self.reader, self.limit, self.words = reader, limit, WordCache(1)
-
-    def load(self, tokens: list[str]) -> None:
-        new = [t for t in set(tokens) if t not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(tokens))
-        hashes = [tuple(h for h, _ in self.words.__missing__(t)) for t in new]
-        self.words.clear()
-        flat = np.array([h for hs in hashes for h in hs], np.uint64).view(np.int64)
-        ids, at = self.reader.word_ids(flat).tolist(), 0
-        for t, hs in zip(new, hashes):
-            self[t] = tuple(ids[at : at + len(hs)])
-            at += len(hs)
-
-
-def _sequences(texts: list, cache: _Ids, start: int):
+def _sequences(texts: list, reader: Reader) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts' words on end, each text behind a start mark; and the marks' places."""
-    tokens = [t.split() if t else [] for t in texts]
-    cache.load([x for t in tokens for x in t])
-    out, marks = [], []
-    for t in tokens:
-        marks.append(len(out))
-        out.append(start)
-        for x in t:
-            out += cache[x]
-    return np.array(out, np.int64), np.array(marks, np.int64)
+    h, _, begin = word_hashes([t or "" for t in texts])
+    words, at = np.unique(h, return_inverse=True)
+    marks = begin[:-1] + np.arange(len(texts))
+    return np.insert(reader.word_ids(words.view(np.int64))[at], begin[:-1], reader.trie.start), marks
 
 
 def _emit(buffer: list, n: int):
@@ -268,22 +241,23 @@ def _level(parent: np.ndarray, name: np.ndarray, parents: int) -> dict[str, np.n
 
 def _vocabulary(docs: DataFrame, trie: Trie) -> None:
     def count(batches):
-        words, hashes, n_docs = WordCache(), {}, 0
+        held, n = [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)), pa.array(list(hashes.values()), pa.int64())], names=["h", "n"])
+            h = np.concatenate([x for x, _ in held])
+            words, at = np.unique(h, return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                for token in text.split():
-                    for h, _ in words[token]:
-                        hashes[h] = hashes.get(h, 0) + 1
-                if len(hashes) > 500_000:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for a, b in slices(texts):
+                held.append(np.unique(word_hashes(texts[a:b])[0], return_counts=True))
+                n += len(held[-1][0])
+                if n > BUFFER:
                     yield out()
-                    hashes.clear()
-        if hashes:
+                    held, n = [], 0
+        if n:
             yield out()
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -332,11 +306,11 @@ def _level2(docs: DataFrame, trie: Trie) -> None:
     def send(batches):
         t = shared.value
         reader = Reader(t)
-        cache, buffer, held = _Ids(reader), [], 0
+        buffer, held = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                seq, _ = _sequences(texts[a:b], cache, t.start)
+                seq, _ = _sequences(texts[a:b], reader)
                 v, w = seq[:-1], seq[1:]
                 ok = (v >= 0) & (w >= 0) & (w != t.start)
                 key = (v[ok].astype(np.uint64) << np.uint64(32)) | w[ok].astype(np.uint64)
@@ -389,11 +363,11 @@ def _level3(docs: DataFrame, trie: Trie) -> None:
     def send(batches):
         t = shared.value
         reader = Reader(t)
-        cache, buffer, held = _Ids(reader), [], 0
+        buffer, held = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                seq, _ = _sequences(texts[a:b], cache, t.start)
+                seq, _ = _sequences(texts[a:b], reader)
                 v, w = seq[:-1], np.where(seq[1:] == t.start, -1, seq[1:])
                 at = np.flatnonzero((v >= 0) & (w >= 0))
                 shard, node, rel = np.zeros(len(v), np.uint32), np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64)
@@ -449,12 +423,11 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     def work(batches):
         t = shared.value
         reader = Reader(t)
-        cache = _Ids(reader)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 part = texts[a:b]
-                n, unknown, total = score_texts(part, reader, cache)
+                n, unknown, total = score_texts(part, reader)
                 null = np.array([x is None for x in part])
                 with np.errstate(over="ignore"):
                     ppl = np.round(np.exp(-total / np.maximum(n, 1)), 2)
@@ -466,10 +439,10 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_words long, n_unknown long, log_prob double, perplexity double")
 
 
-def score_texts(texts: list, reader: Reader, cache: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(texts: list, reader: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, unknown words and log probability of each text."""
     t = reader.trie
-    seq, marks = _sequences(texts, cache, t.start)
+    seq, marks = _sequences(texts, reader)
     mark = np.zeros(len(seq), bool)
     mark[marks] = True
     w = seq[1:]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, materialize, mix, odd_constants, row_key, shared_dir, slices
+from .common import materialize, mix, odd_constants, row_key, shared_dir, slices, word_hashes
 
 #: Words of an n-gram, least Jaccard similarity of a pair.
 NGRAM, THRESHOLD = 2, 0.5
@@ -32,42 +32,48 @@ _SEED = 41
 
 
 class _Grams:
-    """Sorted distinct n-gram hashes of texts and their lengths in letters.
+    """Sorted distinct n-gram hashes of texts; the low six bits are the n-gram's letters.
 
     A text of fewer words than an n-gram has is one short n-gram; one without words has none.
     """
 
     def __init__(self, n: int):
-        self.n, self.cache = n, WordCache()
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        cache, flat = self.cache, []
-        for token in text.split():
-            flat += cache[token]
-        if not flat:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        pairs = np.array(flat, dtype=np.uint64)
-        h, size = pairs[:, 0], pairs[:, 1].astype(np.int64)
-        n = min(self.n, len(h))
-        gram, letters = np.zeros(len(h) - n + 1, np.uint64), np.zeros(len(h) - n + 1, np.int64)
-        for i in range(n):
-            gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-            letters += size[i : len(h) - n + 1 + i]
-        gram, first = np.unique(gram, return_index=True)
-        return gram, letters[first]
-
-
-def signatures(grams: np.ndarray, letters: np.ndarray, starts: np.ndarray, keys: int = KEYS) -> np.ndarray:
+        self.n = n
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of texts laid end to end, and their sizes."""
+        h, letters, start = word_hashes(texts)
+        n, words = self.n, np.diff(start)
+        text = np.repeat(np.arange(len(texts)), words)
+        gram, size, last = h, letters, np.arange(len(h))
+        for i in range(1, n):
+            on = np.minimum(last + i, len(h) - 1)
+            # within its text a run grows; at the end of a text that is too short it stays as it is
+            ok = (last + i < len(h)) & (text[on] == text) if len(h) else np.zeros(0, bool)
+            gram = np.where(ok, mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[on]), gram)
+            size = np.where(ok, size + letters[on], size)
+        whole = np.arange(len(h)) + n <= start[1:][text] if len(h) else np.zeros(0, bool)
+        whole |= (words < n)[text] & (np.arange(len(h)) == start[:-1][text])
+        gram = (mix(gram[whole]) & ~np.uint64(63)) | np.minimum(size[whole], 63).astype(np.uint64)
+        text = text[whole]
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            gram[a:b].sort()
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+        return gram[fresh], np.bincount(text[fresh], minlength=len(texts))
+
+
+def signatures(grams: np.ndarray, starts: np.ndarray, keys: int = KEYS) -> np.ndarray:
     """Weighted min-hashes (uint32) of sets laid end to end: sets x keys."""
     out = np.empty((len(starts), keys), np.uint32)
-    weight = (1.0 / (letters.astype(np.float32) ** 2 + 1)).astype(np.float32)
+    weight = 1 / ((grams & np.uint64(63)).astype(np.float32) ** 2 + np.float32(1))
     names = (mix(grams) >> np.uint64(32)).astype(np.uint32)
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(grams))))
     for k, c in enumerate(odd_constants(keys, _SEED)):
         u = ((grams * c) >> np.uint64(40)).astype(np.float32)
-        value = np.log((u + 1) * np.float32(2.0**-24.001)) * -weight
-        low = np.minimum.reduceat(value, starts)
-        at = np.flatnonzero(value == low[owner])
+        value = np.log((u + np.float32(1)) * np.float32(2.0**-24.001)) * weight  # below 0: the least min-hash is the greatest
+        at = np.flatnonzero(value == np.maximum.reduceat(value, starts)[owner])
         best = np.full(len(starts), np.iinfo(np.uint32).max, np.uint32)
         np.minimum.at(best, owner[at], names[at])  # a tie goes by name
         out[:, k] = best
@@ -82,15 +88,13 @@ def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
-                sets = [grams(t) for t in texts[a:b]]
-                some = np.array([i for i, s in enumerate(sets) if len(s[0])], dtype=np.int64)
+                g, sizes = grams.many(texts[a:b])
+                some = np.flatnonzero(sizes)
                 if not len(some):
                     continue
-                g = np.concatenate([sets[i][0] for i in some])
-                letters = np.concatenate([sets[i][1] for i in some])
-                size = np.array([len(sets[i][0]) for i in some])
+                size = sizes[some]
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                sig = signatures(g, letters, starts)
+                sig = signatures(g, starts)
                 owner = np.repeat(np.arange(len(some)), size)
                 vec = np.bincount(owner * GROUPS + (g >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=len(some) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
                 one, two = np.add.reduceat(mix(g), starts), np.add.reduceat(mix(g ^ np.uint64(_SEED)), starts)
@@ -251,38 +255,77 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = NGRAM, threshold: float =
 
     def work(batches):
         grams = _Grams(n)
-        now, sets = None, {}
+        now, names, sets, bits = None, [], [], None
         for batch in batches:
             block, b, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             is_pair = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             a = batch.column(1).fill_null(0).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1, [len(block)]])
+            edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1, [len(block)]]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
                 if s == e:
                     continue
                 if block[s] != now:
-                    now, sets = block[s], {}
+                    now, names, sets, bits = block[s], [], [], None
                 if not is_pair[s]:
-                    for i in range(s, e):
-                        sets[b[i]] = grams(texts[i].as_py())[0]
+                    for x, y in slices(part := texts[s:e].to_pylist(), 1 << 20):
+                        flat, sizes = grams.many(part[x:y])
+                        sets += np.split(flat, np.cumsum(sizes)[:-1])
+                    names.append(b[s:e])
                     continue
-                yield _overlaps(a[s:e], b[s:e], sets, threshold)
+                if bits is None:
+                    bits = _Bits(np.concatenate(names), sets)
+                yield _overlaps(a[s:e], b[s:e], bits, threshold)
 
     sized = todo.repartition("block").sortWithinPartitions("block", F.col("a").asc_nulls_first(), "b")
     return sized.mapInArrow(work, "a long, b long, jaccard double")
 
 
-def _overlaps(a, b, sets, threshold) -> pa.RecordBatch:
-    jac = np.empty(len(a))
-    edges = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-    for s, e in zip(edges[:-1], edges[1:]):
-        left = sets[a[s]]
-        right = [sets[x] for x in b[s:e]]
-        size = np.array([len(x) for x in right])
-        flat = np.concatenate(right)
-        at = np.minimum(np.searchsorted(left, flat), len(left) - 1)
-        both = np.add.reduceat((left[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
-        jac[s:e] = both / (len(left) + size - both)
+class _Bits:
+    """Sets of a block as rows of bits over the n-grams that at least two of them hold."""
+
+    def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
+        self.order = np.argsort(names)
+        self.names = names[self.order]
+        self.size = np.array([len(x) for x in sets])[self.order]
+        flat = np.concatenate([sets[i] for i in self.order])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        at = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[at][1:] != flat[at][:-1]
+        twice = ~new
+        twice[:-1] |= ~new[1:]
+        column = np.cumsum(new & twice) - 1  # numbers of the shared n-grams
+        columns = int(column[-1]) + 1 if len(column) else 0
+        self.row, self.column = owner[at][twice], column[twice]
+        self.words = -(-columns // 64) or 1
+        self.parts = max(1, -(-len(sets) * self.words * 8 // (64 << 20)))  # a wide block goes in strips of columns
+
+    def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        width = -(-self.words // self.parts)
+        for p in range(self.parts):
+            bits = self._strip(p, width)
+            step = max(1, (8 << 20) // (8 * width))
+            for s in range(0, len(i), step):
+                out[s : s + step] += np.bitwise_count(bits[i[s : s + step]] & bits[j[s : s + step]]).sum(1, dtype=np.int64)
+        return out
+
+    def _strip(self, p: int, width: int) -> np.ndarray:
+        if self.parts == 1 and hasattr(self, "_all"):
+            return self._all
+        bits = np.zeros((len(self.names), width), np.uint64)
+        on = (self.column >= p * width * 64) & (self.column < (p + 1) * width * 64)
+        c = self.column[on] - p * width * 64
+        np.bitwise_or.at(bits, (self.row[on], c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+        if self.parts == 1:
+            self._all = bits
+        return bits
+
+
+def _overlaps(a, b, bits: _Bits, threshold) -> pa.RecordBatch:
+    i, j = np.searchsorted(bits.names, a), np.searchsorted(bits.names, b)
+    both = bits.overlap(i, j)
+    jac = both / (bits.size[i] + bits.size[j] - both)
     keep = jac >= threshold
     return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(jac[keep])], names=["a", "b", "jaccard"])
 
