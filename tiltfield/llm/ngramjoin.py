@@ -5,7 +5,9 @@ class, of which one stands for all. A set's n-grams fall into GROUPS groups by h
 counts are a point, and two sets share at most the sum of their coordinates' minima. The
 points of a block are bulk-loaded into an R-tree, which is joined with itself: two
 nodes, then two points, go on only while that bound (with the sizes) still allows the
-threshold. Surviving pairs are verified on the sets themselves.
+threshold. Points that pass are compared again with more groups, about half as many
+as the set has n-grams; GROUPS coordinates are sums of these. Surviving pairs are verified
+on the sets themselves.
 
 A single tree over the corpus can't be spread over executors without comparing all leaves
 with all, since in so many dimensions boxes overlap. So documents first fall into blocks:
@@ -96,12 +98,12 @@ def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
                 sig = signatures(g, starts)
                 owner = np.repeat(np.arange(len(some)), size)
-                vec = np.bincount(owner * GROUPS + (g >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=len(some) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
+                vec = _counts(g, starts, size, owner)
                 one, two = np.add.reduceat(mix(g), starts), np.add.reduceat(mix(g ^ np.uint64(_SEED)), starts)
                 cls = [x.tobytes() + y.tobytes() for x, y in zip(one, two)]
                 index = pa.array(some + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in vec], pa.binary())],
+                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(vec, pa.binary())],
                     names=["key", "doc_id", "cls", "size", "sig", "vec"],
                 )
 
@@ -109,12 +111,68 @@ def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     return texts.mapInArrow(work, "key long, doc_id long, cls binary, size int, sig binary, vec binary")
 
 
+def _counts(grams: np.ndarray, starts: np.ndarray, size: np.ndarray, owner: np.ndarray) -> list[bytes]:
+    """Each set's counts by group, one byte each, over a power of two of groups.
+
+    There are at least GROUPS groups and half as many as n-grams, more where a byte overflows.
+    """
+    groups = np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(size / 2, 1))).astype(np.int64))
+    names = (grams >> np.uint64(20)).astype(np.int64) & 0xFFFFFFFF
+    while True:
+        ends = np.cumsum(groups)
+        flat = np.bincount((ends - groups)[owner] + names % groups[owner], minlength=int(ends[-1]))
+        most = np.maximum.reduceat(flat, ends - groups)
+        if most.max() < 256:
+            break
+        groups = np.where(most > 255, 2 * groups, groups)
+    flat = flat.astype(np.uint8)
+    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), groups.tolist())]
+
+
+class _Points:
+    """Count vectors of a block: folded to GROUPS coordinates, and as they are by their length."""
+
+    def __init__(self, vec: list[bytes], size: np.ndarray):
+        self.size, self.groups = size.astype(np.int64), np.array([len(v) for v in vec])
+        self.coarse = np.zeros((len(vec), GROUPS), np.int32)
+        self.row, self.fine = np.zeros(len(vec), np.int64), {}
+        for n in np.unique(self.groups).tolist():
+            at = np.flatnonzero(self.groups == n)
+            self.row[at] = np.arange(len(at))
+            m = np.frombuffer(b"".join(vec[i] for i in at), np.uint8).reshape(-1, n)
+            self.fine[n, n] = m
+            self.coarse[at] = m.reshape(len(at), -1, GROUPS).sum(1, dtype=np.int32)
+
+    def _folded(self, n: int, to: int) -> np.ndarray:
+        if (n, to) not in self.fine:
+            m = self.fine[n, n]
+            self.fine[n, to] = m.reshape(len(m), n // to, to).sum(1, dtype=np.uint16)
+        return self.fine[n, to]
+
+    def allowed(self, pairs: np.ndarray, share: float) -> np.ndarray:
+        """Which pairs may still overlap in ``share`` of their sizes' sum, by the finer counts."""
+        i, j = pairs[:, 0], pairs[:, 1]
+        need = share * (self.size[i] + self.size[j]) - 1e-9
+        out = np.zeros(len(pairs), bool)
+        kind = self.groups[i] * (1 << 32) + self.groups[j]
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            p, q = k >> 32, k & 0xFFFFFFFF
+            to = min(p, q)
+            left, right = self._folded(p, to), self._folded(q, to)
+            step = max(1, (2 << 20) // to)
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                out[part] = np.minimum(left[self.row[i[part]]], right[self.row[j[part]]]).sum(1, dtype=np.int64) >= need[part]
+        return out
+
+
 class RTree:
     """Sort-tile-recursive R-tree over count vectors; only upper corners matter to the bound."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
         self.order = self._tile(points, sizes, fanout)
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order].astype(np.int64)
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []  # from the leaves up: upper corners, least and greatest set sizes
         top, lo, hi = self.points, self.sizes, self.sizes
         while len(top) > 1:
@@ -174,12 +232,13 @@ class RTree:
         return may
 
 
-def _block_pairs(sig: np.ndarray, vec: np.ndarray, size: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    pairs = RTree(vec, size).join(threshold)
+def _block_pairs(sig: np.ndarray, vec: list[bytes], size: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    points = _Points(vec, size)
+    pairs = RTree(points.coarse, points.size).join(threshold)
     if k and len(pairs):  # a pair is handled in the first block that it shares
         out = [p[~(sig[p[:, 0], :k] == sig[p[:, 1], :k]).any(1)] for p in (pairs[i : i + 262144] for i in range(0, len(pairs), 262144))]
         pairs = np.concatenate(out)
-    return pairs
+    return pairs[points.allowed(pairs, threshold / (1 + threshold))] if len(pairs) else pairs
 
 
 def _groups(batches, by):
@@ -223,12 +282,12 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             table = table.combine_chunks()
             key, block, size = (table.column(c).to_numpy() for c in ("key", "block", "size"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, keys)
-            vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS)
+            vec = table.column("vec").to_pylist()
             lane = (block.view(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))) & np.uint64(31)
             out = []
             for i in many:
                 s = slice(first[i], last[i])
-                pairs = _block_pairs(sig[s], vec[s], size[s], int(lane[first[i]]), threshold)
+                pairs = _block_pairs(sig[s], vec[first[i] : last[i]], size[s], int(lane[first[i]]), threshold)
                 if len(pairs):
                     out.append(pairs + first[i])
             if out:
