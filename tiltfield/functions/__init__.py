@@ -1,0 +1 @@
+"""Column expressions that stay inside the JVM."""

@@ -1,0 +1 @@
+"""Operators: DataFrame in, lazy DataFrame out."""

@@ -1,5 +1,6 @@
-"""Registered queries over the standard tables."""
+"""Registered queries over the standard tables, and the SQL that they agree with."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .queries import FLAGSHIP, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
