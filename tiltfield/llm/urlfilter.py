@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_blob, materialize, put_blob, shared_dir
+from .common import MASK, get_blob, materialize, mix, put_blob, shared_dir
 
 #: Share of false positives of level 0 and of the levels after it.
 FIRST_RATE, NEXT_RATE = 0.01, 0.5
@@ -41,11 +41,12 @@ class Level:
     folder: str
     bits: int
     hashes: int
+    salt: int
 
     def test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which keys (two uint64 hashes each) the level takes in."""
         out = np.ones(len(a), dtype=bool)
-        for pos in positions(a, b, self.bits, self.hashes):
+        for pos in positions(a, b, self.bits, self.hashes, self.salt):
             segment, bit = pos // np.uint64(SEGMENT), pos % np.uint64(SEGMENT)
             for s in np.unique(segment[out]):
                 at = np.flatnonzero(out & (segment == s))
@@ -55,8 +56,9 @@ class Level:
         return out
 
 
-def positions(a: np.ndarray, b: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
-    step = b | np.uint64(1)
+def positions(a: np.ndarray, b: np.ndarray, bits: int, hashes: int, salt: int) -> list[np.ndarray]:
+    """A level's places of keys; each level has its own, or keys that meet on one would meet on all."""
+    a, step = mix(a + np.uint64(salt * 0x9E3779B97F4A7C15 & MASK)), mix(b ^ np.uint64(salt)) | np.uint64(1)
     return [(a + np.uint64(i) * step) % np.uint64(bits) for i in range(hashes)]
 
 
@@ -85,7 +87,7 @@ class Cascade:
         return key.isNotNull() & work(F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key))
 
 
-def _build(keys: DataFrame, n: int, rate: float, folder: str) -> Level:
+def _build(keys: DataFrame, n: int, rate: float, folder: str, salt: int) -> Level:
     """Set the bits of ``keys`` (columns a, b); one file for each run of SEGMENT bits."""
     hashes = max(1, round(math.log2(1 / rate)))
     bits = max(64, math.ceil(n * hashes / math.log(2)))
@@ -94,20 +96,23 @@ def _build(keys: DataFrame, n: int, rate: float, folder: str) -> Level:
     @F.pandas_udf("array<long>")
     def at(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (s.to_numpy().astype(np.int64).view(np.uint64) for s in (a, b))
-        return pd.Series(list(np.stack(positions(x, y, bits, hashes), 1).astype(np.int64)))
+        return pd.Series(list(np.stack(positions(x, y, bits, hashes, salt), 1).astype(np.int64)))
+
+    def width(s: int) -> int:
+        return -(-min(segment, bits - s * segment) // 8)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf["s"].iloc[0])
-        raw = np.zeros(segment // 8, dtype=np.uint8)
+        raw = np.zeros(width(s), dtype=np.uint8)
         p = pdf["p"].to_numpy() % segment
         np.bitwise_or.at(raw, p >> 3, (1 << (p & 7)).astype(np.uint8))
         put_blob(f"{folder}/{s}", raw.tobytes())
         return pd.DataFrame({"s": [s]})
 
     for s in range(-(-bits // segment)):  # segments without bits are read too
-        put_blob(f"{folder}/{s}", bytes(segment // 8))
+        put_blob(f"{folder}/{s}", bytes(width(s)))
     keys.select(F.explode(at("a", "b")).alias("p")).withColumn("s", F.floor(F.col("p") / segment)).groupBy("s").applyInPandas(write, "s long").collect()
-    return Level(folder, bits, hashes)
+    return Level(folder, bits, hashes, salt)
 
 
 def _hit(level: Level) -> Column:
@@ -132,7 +137,7 @@ def build(listed: DataFrame, universe: DataFrame, first_rate: float = FIRST_RATE
     inside, outside = keys.where("l"), keys.where("not l")
     levels: list[Level] = []
     while n := inside.count():
-        levels.append(_build(inside, n, next_rate if levels else first_rate, f"{folder}/level{len(levels)}"))
+        levels.append(_build(inside, n, next_rate if levels else first_rate, f"{folder}/level{len(levels)}", len(levels)))
         wrong = materialize(outside.where(_hit(levels[-1])), folder, f"wrong{len(levels)}")
         inside, outside = wrong, inside
     return Cascade(tuple(levels))
