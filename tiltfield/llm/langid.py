@@ -79,10 +79,12 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, keep_words: int = KEE
     """
     from pyspark.sql import Window
 
-    sample = (
-        labelled.where("text <> '' and lang <> ''").select("doc_id", "text", "lang")
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.md5("text"), "lang").limit(train_rows)
-    )
+    rows = labelled.where("text <> '' and lang <> ''").select("doc_id", "text", "lang")
+    name = [F.col("doc_id"), F.md5("text").alias("t"), F.col("lang")]
+    # only names are sorted; the texts of the few that are chosen are joined to them
+    chosen = rows.select(F.md5(F.col("doc_id").cast("string")).alias("m"), *name).orderBy("m", "doc_id", "t", "lang").limit(train_rows).distinct()
+    a, b = rows.withColumn("t", F.md5("text")).alias("a"), F.broadcast(chosen).alias("b")
+    sample = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.t = b.t and a.lang = b.lang"), "left_semi")
     rank = Window.partitionBy("lang", "g").orderBy(F.desc("n"), "w")
     kept = (
         _counts(sample).withColumn("r", F.row_number().over(rank))
