@@ -110,11 +110,14 @@ def assign(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK
     @F.pandas_udf("int")
     def shard_of(s: pd.Series, h: pd.Series) -> pd.Series:
         out = pd.Series(-1, index=s.index, dtype="int32")
-        s = s.where(s.notna(), None)
-        for name, at in s.groupby(s, dropna=False).groups.items():
-            edges, shards = shared.value[None if pd.isna(name) else name]
-            k = np.searchsorted(edges, h.loc[at].to_numpy(), side="left")  # edges are last hashes of runs
-            out.loc[at] = np.append(shards, -1).astype(np.int32)[k]
+        code, names = pd.factorize(s)  # null is -1
+        hashes, result = h.to_numpy(), out.to_numpy(copy=True)
+        for k in np.unique(code):
+            at = np.flatnonzero(code == k)
+            edges, shards = shared.value[None if k < 0 else names[k]]
+            found = np.searchsorted(edges, hashes[at], side="left")  # edges are last hashes of runs
+            result[at] = np.append(shards, -1).astype(np.int32)[found]
+        out = pd.Series(result, index=s.index)
         return out
 
     return base.withColumn("shard", shard_of("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
