@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,3 +186,15 @@ def slices(texts: list, limit: int = SLICE_BYTES):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def arrow_slices(texts: pa.Array, limit: int = SLICE_BYTES):
+    """The same over an Arrow column, before any text becomes an object; memory that is free goes back."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    start = 0
+    upto = np.cumsum(size)
+    while start < len(size):
+        stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit)) + 1
+        yield start, min(stop, len(size))
+        start = stop
+        pa.default_memory_pool().release_unused()

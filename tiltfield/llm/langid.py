@@ -153,6 +153,7 @@ def identify(text: Column, model: Model) -> Column:
         for texts in batches:
             out = [_verdict(scorer.text(t) if t else None, m) for t in texts]
             yield pd.DataFrame(out, columns=["lang", "margin", "n_words", "accepted"])
+            pa.default_memory_pool().release_unused()
 
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(work, "lang string, margin double, n_words long, accepted boolean")(text)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, odd_constants, row_key, shared_dir, slices, word_hashes
+from .common import arrow_slices, materialize, mix, odd_constants, row_key, shared_dir, word_hashes
 
 #: Words of an n-gram, least Jaccard similarity of a pair.
 NGRAM, THRESHOLD = 2, 0.5
@@ -88,9 +88,8 @@ def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     def work(batches):
         grams = _Grams(n)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                g, sizes = grams.many(texts[a:b])
+            for a, b in arrow_slices(batch.column(2), 1 << 20):
+                g, sizes = grams.many(batch.column(2)[a:b].to_pylist())
                 some = np.flatnonzero(sizes)
                 if not len(some):
                     continue
@@ -326,8 +325,9 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = NGRAM, threshold: float =
                 if block[s] != now:
                     now, names, sets, bits = block[s], [], [], None
                 if not is_pair[s]:
-                    for x, y in slices(part := texts[s:e].to_pylist(), 1 << 20):
-                        flat, sizes = grams.many(part[x:y])
+                    part = texts[s:e]
+                    for x, y in arrow_slices(part, 1 << 20):
+                        flat, sizes = grams.many(part[x:y].to_pylist())
                         sets += np.split(flat, np.cumsum(sizes)[:-1])
                     names.append(b[s:e])
                     continue
