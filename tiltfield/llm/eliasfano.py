@@ -4,13 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_SELECT = np.zeros((256, 8), dtype=np.uint8)
-for _b in range(256):
-    for _r, _p in enumerate(p for p in range(8) if _b >> p & 1):
-        _SELECT[_b, _r] = _p
-
-
 def pack(parts: dict[str, np.ndarray]) -> bytes:
     """Named arrays in one blob, each at a multiple of 8 bytes, behind their directory."""
     head, body, at = [], [], 0
@@ -36,13 +29,16 @@ def unpack(blob: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _select_in_words(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th set bit of each 64-bit word."""
-    bytes_ = words.view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POP[bytes_], axis=1, dtype=np.int64)
-    byte = (upto <= rank[:, None]).sum(1)
-    rows = np.arange(len(words))
-    before = np.where(byte > 0, upto[rows, byte - 1], 0)
-    return byte * 8 + _SELECT[bytes_[rows, byte], rank - before]
+    """Place of the rank-th set bit of each 64-bit word: halves are counted and dropped."""
+    place, rank = np.zeros(len(words), np.int64), rank.astype(np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = words & np.uint64((1 << width) - 1)
+        count = np.bitwise_count(low).astype(np.int64)
+        up = rank >= count
+        rank -= count * up
+        place += up * width
+        words = np.where(up, words >> np.uint64(width), low)
+    return place
 
 
 class EliasFano:
@@ -68,7 +64,7 @@ class EliasFano:
         words = np.zeros((int(high[-1]) if n else 0) // 64 + 2, np.uint64)  # a closing zero always follows
         np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
         ones = np.zeros(len(words), np.int64)
-        ones[1:] = np.cumsum(_POP[words.view(np.uint8).reshape(-1, 8)].sum(1, dtype=np.int64))[:-1]
+        ones[1:] = np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]
         low = np.zeros(n * low_bits // 8 + 16, np.uint8) if low_bits else np.zeros(0, np.uint8)
         if low_bits:
             bits = v & np.uint64((1 << low_bits) - 1)

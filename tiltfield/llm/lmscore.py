@@ -150,14 +150,20 @@ class Reader:
         return found, a
 
     def bigrams(self, v: np.ndarray, w: np.ndarray):
-        """For pairs of ids (v known or start, w known or -1): shard, local node or -1, relative name, discounted p, b(v)."""
+        """For pairs of ids (v known or start, w known or -1): shard, local node or -1, relative name, discounted p, b(v).
+
+        Each pair is looked up once, in order, so that neighbours in the files are read together.
+        """
+        key, back = np.unique((v.astype(np.uint64) << np.uint64(32)) | (w + 1).astype(np.uint64), return_inverse=True)
+        v, w = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64) - 1
         n = len(v)
         node, rel = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         prob, bow = np.zeros(n), np.ones(n)
         key = (v.astype(np.uint64) << np.uint64(32)) | np.maximum(w, 0).astype(np.uint64)
         shard = (np.searchsorted(self.trie.bounds, key, "right") - 1).astype(np.uint32)
-        for s, at in _by(shard):
-            opened = self._open(2, s)
+        edge = np.flatnonzero(np.diff(shard)) + 1
+        for at in np.split(np.arange(n), edge) if n else ():
+            opened = self._open(2, int(shard[at[0]]))
             if opened is None:
                 continue
             parts = opened[0]
@@ -175,7 +181,7 @@ class Reader:
             at = np.flatnonzero(self.split_word[k] == v)
             bow[at] = self.split_bow[k[at]]
             rel[at] = self.trie.nodes[shard[at]] + node[at] - self.split_node[k[at]]
-        return shard, node, rel, prob, bow
+        return shard[back], node[back], rel[back], prob[back], bow[back]
 
     def trigrams(self, shard: np.ndarray, node: np.ndarray, rel: np.ndarray):
         """For level-2 nodes and relative names (or -1): discounted p and b(uv)."""
@@ -184,11 +190,15 @@ class Reader:
             opened = self._open(3, s)
             if opened is None:
                 continue
-            bow[at] = VALUE[opened[0]["bow"][node[at]]]
+            parts = opened[0]
+            bow[at] = VALUE[parts["bow"][node[at]]]
             at = at[rel[at] >= 0]
-            found, _ = self._children(opened, node[at], rel[at])
+            key, back = np.unique((node[at].astype(np.uint64) << np.uint64(32)) | rel[at].astype(np.uint64), return_inverse=True)
+            found, _ = self._children(opened, (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64))
             hit = found >= 0
-            prob[at[hit]] = VALUE[opened[0]["prob"][found[hit]]]
+            value = np.zeros(len(key))
+            value[hit] = VALUE[parts["prob"][found[hit]]]
+            prob[at] = value[back]
         return prob, bow
 
 
@@ -294,7 +304,7 @@ def _vocabulary(docs: DataFrame, trie: Trie) -> None:
         bounds += [(trie.words + int(i), x) for i, x in zip(r["at"], r["share"])]
         trie.words += r["n"]
     trie.tokens = sum(r["total"] for r in rows)
-    if trie.words >= 1 << 32:
+    if trie.words + 2 >= 1 << 32:
         raise ValueError("more than 2**32 words")
     keys = {0} | {(i << 32) | int(x * trie.words) for i, x in bounds[1:]}
     trie.bounds = np.array(sorted(keys), np.uint64)
