@@ -36,6 +36,8 @@ TRAIN_ROWS = 1000
 LANDMARKS, MOST_UNITS = 96, 3000
 #: A witness has so many different left neighbours in toxic sentences, and this share of all in toxic ones.
 MIN_NEIGHBOURS, MIN_SHARE = 3, 0.9
+#: Units that may become witnesses by chance alone, in expectation.
+CHANCE = 5
 #: Longer tokens are scored in overlapping pieces of this length.
 PIECE = 24
 _SYMBOLS = 32
@@ -180,8 +182,11 @@ def fit_sentences(toxic: list[str], clean: list[str], rounds: int = 8) -> Machin
                 if len(u) >= ORDER and len(u) <= PIECE:
                     around[u][side].add(before)
                 before = u
+    # a unit's neighbours are toxic by chance with this share: so few of all units may pass that way
+    share = sum(len(p) for p, _ in around.values()) / max(1, sum(len(p) + len(n) for p, n in around.values()))
+    least = max(MIN_NEIGHBOURS, np.log(CHANCE / max(1, len(around))) / np.log(min(max(share, 1e-9), 0.99)))
     witness = sorted(
-        (u for u, (p, n) in around.items() if len(p) >= MIN_NEIGHBOURS and len(p) >= MIN_SHARE * (len(p) + len(n))),
+        (u for u, (p, n) in around.items() if len(p) >= least and len(p) >= MIN_SHARE * (len(p) + len(n))),
         key=lambda u: (-len(around[u][0]), u),
     )
     if witness:  # near copies repeat a word with the same neighbours: keep what stands out from them
