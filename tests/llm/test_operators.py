@@ -249,6 +249,25 @@ def test_toxicity_held_out(spark):
     assert ("idiot" not in bad or got[0]["toxic"]) and not got[1]["toxic"]
 
 
+def test_toxicity_learns_rare_languages():
+    rng = np.random.default_rng(6)
+    plain = [["zu", "wort"], ["lamo", "tibu", "sarei", "polun", "kerad", "mifo", "dusel", "naba", "goriv", "hetul"]]
+    forms = [stem + end for stem in ("bomente", "achlich") for end in ("ra", "co", "st", "ung", "pf", "le", "tz", "ver")]
+
+    def text(*more):
+        t = [str(w) for w in rng.choice(plain[1], 40)] + [f"{a}{b}" for a, b in zip(rng.choice(plain[1], 20), rng.choice(plain[1], 20))]
+        for w in more:
+            t.insert(int(rng.integers(1, len(t))), w)
+        return " ".join(t)
+
+    # a frequent language's insult is in many texts, each form of the rare ones in a few
+    toxic = [text("trash", "moron") for _ in range(150)] + [text(*(forms[(3 * i + j) % 16] for j in range(3))) for i in range(40)]
+    clean = [text() for _ in range(300)] + [text(str(rng.choice(["achlich", "bomente", "erachlich"]))) for _ in range(60)]
+    machine = toxicity.fit_sentences(toxic, clean)
+    assert [u for u in ("trash", "moron", *forms) if machine.score([u])[0] < 0] == []
+    assert (machine.score(["achlich", "bomente", *plain[1]]) < 0).all()
+
+
 # --- 7: substrings ---
 
 

@@ -6,9 +6,9 @@ sentence: its tokens, and runs of one-character tokens read as one ("i d i o t")
 A sentence is as toxic as its worst unit, a document as its worst sentence.
 
 Training (bounded sample, on the driver) is multiple-instance: the sentences of documents
-labelled toxic hold at least one bad unit, unknown which. Witness units start as those
-that occur in toxic sentences with many different neighbours and hardly in clean ones; the
-machine is fitted on Nystrom features over landmarks, then clean units that it takes for
+labelled toxic hold at least one bad unit, unknown which. Witness units are those that
+occur in toxic texts with many different neighbours and hardly in clean ones, by
+themselves or with the other forms of their stem; the machine is fitted on Nystrom features over landmarks, then clean units that it takes for
 toxic join the negatives, and it is fitted again. In the kernel's own feature space the
 decision function is one weight for each subsequence, which scoring uses: that equals
 the sum over landmarks and costs as much as one of them.
@@ -17,6 +17,7 @@ the sum over landmarks and costs as much as one of them.
 from __future__ import annotations
 
 import itertools
+import math
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -32,17 +33,21 @@ from .common import slices
 ORDER, DECAY = 3, 0.6
 #: Labelled documents of each class that the machine is fitted on, by the least md5 of their id.
 TRAIN_ROWS = 1000
-#: Landmarks for each class; units of either class that training keeps.
-LANDMARKS, MOST_UNITS = 96, 3000
-#: A witness has so many different left neighbours in toxic sentences, and this share of all in toxic ones.
-MIN_NEIGHBOURS, MIN_SHARE = 3, 0.9
+#: Clean units that join the negatives in a round, and are landmarks besides the witnesses; negatives to begin with.
+MINED, MOST_UNITS = 300, 3000
+#: A witness is in so many toxic texts, and has this share of its different left neighbours in toxic ones;
+#: the units that continue its stem have the latter share, without the witness.
+MIN_TEXTS, MIN_SHARE, STEM_SHARE = 3, 0.9, 0.75
 #: Units that may become witnesses by chance alone, in expectation.
 CHANCE = 5
 #: Longer tokens are scored in overlapping pieces of this length.
 PIECE = 24
-_SYMBOLS = 32
+#: Weight of all witnesses against all negatives; what the bias is lowered by.
+POSITIVE, MARGIN = 0.15, 0.6
+_START, _END = "\x02", "\x03"
+_SYMBOLS = 34
 _CODES = _SYMBOLS**ORDER
-_FOLD: dict[str, int] = {}
+_FOLD: dict[str, int] = {_START: 32, _END: 33}
 
 
 def _code(ch: str) -> int:
@@ -111,27 +116,42 @@ def dense(units: list[str]) -> np.ndarray:
         if len(u) >= ORDER:
             code, w = _subsequences([u], len(u))
             out[i, code[0][w[0] > 0]] = w[0][w[0] > 0]
-    norm = np.sqrt((out.astype(np.float64) ** 2).sum(1, keepdims=True))
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))[:, None]
     return (out / np.maximum(norm, 1e-12)).astype(np.float32)
 
 
+def _framed(u: str) -> str:
+    """With marks of its start and end, so that a stem at the start isn't one inside."""
+    return f"{_START}{u}{_END}"
+
+
+def _feature(u: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a short unit in its frame, and their normalised kernel features."""
+    u = _framed(u)
+    code, w = _subsequences([u], len(u))
+    held = w[0] > 0
+    return code[0][held], (w[0][held] / max(math.sqrt((w[0] ** 2).sum()), 1e-12)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Machine:
     """Decision function: weights . features + bias, toxic from 0 on."""
 
     weights: np.ndarray
     bias: float
+    clean: frozenset = frozenset()
 
     def score(self, units: list[str]) -> np.ndarray:
         """Decision values; a longer unit has its worst piece's.
 
-        A piece that is too short or that letters are less than half of has the bias.
+        A unit of ``clean`` (clean training texts hold it time and again), or a piece that is too short or that letters are less than half of has the bias.
         """
         out = np.full(len(units), self.bias)
         by_length = defaultdict(list)
         for i, u in enumerate(units):
-            for piece in _pieces(u):
+            for piece in () if u in self.clean else _pieces(u):
                 if 2 * sum(map(str.isalpha, piece)) >= len(piece) >= ORDER:
+                    piece = _START * (u.startswith(piece)) + piece + _END * (u.endswith(piece))
                     by_length[len(piece)].append((i, piece))
         for n, found in by_length.items():
             step = max(16, 200_000 // len(_triples(n)[0]))
@@ -153,7 +173,7 @@ def variants(u: str) -> list[str]:
     return [u[:i] + mark + u[i:] for i in range(1, len(u)) for mark in ("*", u[i - 1])] + ["*".join(u)]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-2, rounds: int = 60) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-1, rounds: int = 60) -> np.ndarray:
     """L2-regularised squared-hinge machine by Newton steps; the last coefficient is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -171,53 +191,99 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-2, ro
     return w
 
 
-def fit_sentences(toxic: list[str], clean: list[str], rounds: int = 8) -> Machine:
-    """Fit on labelled sentences; without witnesses nothing is toxic."""
-    around: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    for side, group in enumerate((toxic, clean)):
-        for s in group:
+def _seen(texts: list[str]) -> tuple[Counter, Counter]:
+    """unit -> different left neighbours; texts that show it with one that no text before had.
+
+    Near copies bring no new neighbours, so they don't count again.
+    """
+    known: set[tuple[str, str]] = set()
+    around, held = Counter(), Counter()
+    for text in texts:
+        fresh = []
+        for s in sentences(text):
             before = ""
             for token in s.split():
                 u = unit(token)
-                if len(u) >= ORDER and len(u) <= PIECE:
-                    around[u][side].add(before)
+                if ORDER <= len(u) <= PIECE and (u, before) not in known:
+                    known.add((u, before))
+                    fresh.append(u)
                 before = u
-    # a unit's neighbours are toxic by chance with this share: so few of all units may pass that way
-    share = sum(len(p) for p, _ in around.values()) / max(1, sum(len(p) + len(n) for p, n in around.values()))
-    least = max(MIN_NEIGHBOURS, np.log(CHANCE / max(1, len(around))) / np.log(min(max(share, 1e-9), 0.99)))
-    witness = sorted(
-        (u for u, (p, n) in around.items() if len(p) >= least and len(p) >= MIN_SHARE * (len(p) + len(n))),
-        key=lambda u: (-len(around[u][0]), u),
-    )
-    if witness:  # near copies repeat a word with the same neighbours: keep what stands out from them
-        most = len(around[witness[0]][0])
-        witness = [u for u in witness if len(around[u][0]) >= max(MIN_NEIGHBOURS, most / 4)][:LANDMARKS]
-    common = sorted((u for u, (p, n) in around.items() if n and u not in witness), key=lambda u: (-len(around[u][1]), u))
+        around.update(fresh)
+        held.update(set(fresh))
+    return around, held
+
+
+def _unlikely(p: int, n: int, share: float, tests: int) -> bool:
+    """Whether p of p + n would be toxic in fewer than CHANCE of ``tests`` by chance (Chernoff's bound)."""
+    x = p / max(1, p + n)
+    if x <= share:
+        return False
+    gap = x * math.log(x / share) + ((1 - x) * math.log((1 - x) / (1 - share)) if n else 0)
+    return (p + n) * gap >= math.log(max(1, tests) / CHANCE)
+
+
+def witnesses(toxic: list[str], clean: list[str]) -> tuple[list[str], dict[str, int]]:
+    """Units that tell toxic texts, and common units of clean ones; those in doubt are neither.
+
+    A witness is nearly always in toxic texts, and stands out there by itself, or does so
+    together with the other units that continue its stem (a rare language has too few texts for
+    each form of a word).
+    """
+    (bad, held), (good, _) = _seen(toxic), _seen(clean)
+    units = bad.keys() | good.keys()
+    share = min(max(bad.total() / max(1, bad.total() + good.total()), 1e-9), 0.99)
+    family: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for u in units:
+        for i in range(ORDER, len(u)):
+            total = family[u[:i]]
+            total[0] += bad[u]
+            total[1] += good[u]
+
+    def by_stem(u: str) -> bool:
+        for i in range(ORDER, len(u)):
+            p, n = family[u[:i]][0] - bad[u], family[u[:i]][1] - good[u]  # without its own say
+            if p >= STEM_SHARE * (p + n) and _unlikely(p, n, share, len(family)):
+                return True
+        return False
+
+    likely = {u for u in units if held[u] >= MIN_TEXTS and bad[u] >= MIN_SHARE * (bad[u] + good[u])}
+    witness = sorted((u for u in likely if _unlikely(bad[u], good[u], share, len(units)) or by_stem(u)), key=lambda u: (-bad[u], u))
+    doubt = {u for u in units if held[u] >= MIN_TEXTS and bad[u] > good[u] and (u in likely or by_stem(u))}
+    common = {u: good[u] for u in sorted((u for u in good if u not in doubt), key=lambda u: (-good[u], u))}
+    return witness, common
+
+
+def fit_sentences(toxic: list[str], clean: list[str], rounds: int = 16) -> Machine:
+    """Fit on labelled texts; without witnesses nothing is toxic."""
+    witness, common = witnesses(toxic, clean)
     if not witness or not common:
         return Machine(np.zeros(_CODES, np.float32), -1.0)
-    step = max(1, len(common) // (MOST_UNITS // 2))
-    negative = list(dict.fromkeys(common[: MOST_UNITS // 2] + common[::step]))[:MOST_UNITS]
+    names = list(common)
+    step = max(1, len(names) // (MOST_UNITS // 2))
+    negative = list(dict.fromkeys(names[: MOST_UNITS // 2] + names[::step]))[:MOST_UNITS]
     positive = witness + [v for u in witness for v in variants(u)]
+    features = {u: _feature(u) for u in dict.fromkeys(positive + negative)}
+    known = frozenset(u for u in names if common[u] >= MIN_TEXTS)
     for _ in range(rounds):
-        marks = list(dict.fromkeys(witness + negative[-LANDMARKS:]))
-        landmark = dense(marks)
-        gram = (landmark @ landmark.T).astype(np.float64)
-        value, vector = np.linalg.eigh(gram)
-        keep = value > 1e-8 * value.max()
+        marks = list(dict.fromkeys(witness + negative[-MINED:]))
+        columns = np.ascontiguousarray(dense([_framed(u) for u in marks]).T)
+        gram, kernel = (np.array([features[u][1] @ columns[features[u][0]] for u in part], np.float64) for part in (marks, positive + negative))
+        value, vector = np.linalg.eigh((gram + gram.T) / 2)
+        keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        units = positive + negative
-        kernel = np.concatenate([dense(units[i : i + 256]) @ landmark.T for i in range(0, len(units), 256)]).astype(np.float64)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        share = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * len(y)
-        w = _svm(kernel @ root, y, share)
-        machine = Machine((landmark.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
-        score = machine.score(common)
-        worst = [common[i] for i in np.argsort(-score)[:LANDMARKS] if score[i] > -0.5]
-        fresh = [u for u in worst if u not in set(negative)]
+        weight = np.array([0.0] * len(positive) + [math.sqrt(common[u]) for u in negative])
+        weight[: len(positive)] = POSITIVE * weight.sum() / len(positive)
+        w = _svm(kernel @ root, y, weight)
+        machine = Machine((columns @ (root @ w[:-1]).astype(np.float32)).astype(np.float32), float(w[-1]))
+        score, taken = machine.score(names), set(negative)
+        worst = [i for i in np.argsort(-score, kind="stable")[: len(taken) + MINED] if score[i] > -0.5]
+        fresh = [names[i] for i in worst if names[i] not in taken][:MINED]
         if not fresh:
             break
+        features.update((u, _feature(u)) for u in fresh)
         negative += fresh
-    return machine
+    return Machine(machine.weights, machine.bias - MARGIN, known)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
@@ -234,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
     groups: dict[int, list[str]] = {1: [], 0: []}
     for row in found:
-        groups[row["side"]] += sentences(row["text"])
+        groups[row["side"]].append(row["text"])
     return fit_sentences(groups[1], groups[0])
 
 
