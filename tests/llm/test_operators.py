@@ -383,3 +383,11 @@ def test_mix_meets_the_quotas(spark):
     assert mixing.mix_rows(df, {}).count() == 0
     again = rows(mixing.mix_rows(df.repartition(7), weights, block_rows=4, shard_rows=256))
     assert sorted(map(str, again)) == sorted(map(str, got))  # the draw doesn't depend on partitions
+
+
+def test_a_tiny_source_thins_no_other(spark):
+    plan = mixing.make_plan({"hot": 50_000, **{f"s{i}": 1000 for i in range(19)}, None: 30})
+    assert all(16 * q >= n for q, n in zip(plan.quotas, [{"hot": 50_000, None: 30}.get(s, 1000) for s in plan.sources]))
+    made = [(i, f"t{i}", None if i < 5 else "ab"[i % 10 == 0]) for i in range(3000)]
+    got = rows(mixing.mix_rows(spark.createDataFrame(made, "doc_id long, text string, source string"), shard_rows=256))
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and len({r["shard"] for r in got}) > 1

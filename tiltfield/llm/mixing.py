@@ -23,8 +23,6 @@ BLOCK_ROWS, SHARD_ROWS = 16, 16384
 BUCKETS = 1024
 #: Most run bounds that are broadcast (12 bytes each); beyond it shards grow instead.
 MOST_BOUNDS = 4_000_000
-#: Default weights: each source's count to this power, which favours small sources.
-TEMPERATURE = 0.7
 SEED = 29
 
 
@@ -80,11 +78,16 @@ def _order(seed: int):
 
 
 def make_plan(counts: dict, weights: dict | None = None, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> Plan:
-    """Quotas and their tree for sources with ``counts`` rows; a source without a weight gets none."""
+    """Quotas and their tree for sources with ``counts`` rows; a source without a weight gets none.
+
+    Without weights, sources keep their natural shares: all rows are drawn, however small one source is.
+    """
     names = tuple(sorted(counts, key=lambda s: (s is None, s or "")))
     n = np.array([counts[s] for s in names], dtype=np.int64)
-    w = n**TEMPERATURE if weights is None else np.array([weights.get(s, 0.0) for s in names], dtype=np.float64)
-    q = quotas(n, w, block_rows) if len(n) else n
+    if weights is None or not len(n):
+        q = -(-n // block_rows)
+    else:
+        q = quotas(n, np.array([weights.get(s, 0.0) for s in names], dtype=np.float64), block_rows)
     shards = min(max(1, -(-int(q.sum()) * block_rows // shard_rows)), max(1, MOST_BOUNDS // len(n))) if len(n) else 0
     return Plan(names, q, split(q, shards, seed) if shards else np.zeros((0, len(n)), np.int64))
 
