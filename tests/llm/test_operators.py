@@ -163,6 +163,14 @@ def test_language_held_out(spark):
     assert model.word("qqzzqq") is None or len(model.word("qqzzqq")) == 4  # an unseen word backs off
 
 
+def test_mostly_foreign_script_is_turned_away(spark):
+    made = [(1, "the cat and the dog sat here " * 20, "en"), (2, "le chat et la souris sont ici " * 20, "fr")]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    texts = ["привет мир " * 19 + "the cat", "привет " * 10, "the cat and the dog привет"]
+    got = rows(langid.language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model), "doc_id")
+    assert [r["accepted"] for r in got] == [False, False, True]
+
+
 # --- 3: fingerprints ---
 
 

@@ -21,7 +21,7 @@ KEEP_WORDS, KEEP_GRAMS, GRAMS = 20_000, 5_000, (4, 3, 2, 1)
 MIN_WORD = 2
 #: A document is accepted if its best language leads the next by so much a word ...
 MIN_MARGIN = 0.02
-#: ... and so large a share of its words could be scored.
+#: ... and so large a share of its words is known by at least one letter.
 MIN_SCORED = 0.5
 HALF = 0.5
 _LETTERS = regex.compile(r"\p{L}+")
@@ -47,6 +47,13 @@ class Model:
                 return tuple(sum(x) / len(found) for x in zip(*found))
         return None
 
+    def known(self, word: str) -> bool:
+        """Whether the word, or an n-gram with one of its letters, is in the model; its padding alone isn't enough."""
+        if word in self.words or any(c in self.grams[1] for c in word):
+            return True
+        padded = f" {word} "
+        return any(padded[i : i + n] in self.grams[n] for n in GRAMS if n > 1 for i in range(len(padded) - n + 1))
+
 
 def _counts(sample: DataFrame) -> DataFrame:
     """``lang, g, w, n``: how often a word (g = 0) or an n-gram of g characters occurs in a language."""
@@ -106,20 +113,21 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, keep_words: int = KEE
 
 
 class _Scorer(dict):
-    """White-space token -> row of [words, scored words, score of each language]."""
+    """White-space token -> row of [words, scored words, words known by a letter, score of each language]."""
 
     def __init__(self, model: Model, limit: int = 200_000):
         super().__init__()
         self.model, self.limit = model, limit
-        self.rows = np.zeros((limit, 2 + len(model.langs)))
+        self.rows = np.zeros((limit, 3 + len(model.langs)))
 
     def __missing__(self, token):
-        row = np.zeros(2 + len(self.model.langs))
+        row = np.zeros(3 + len(self.model.langs))
         for word in _LETTERS.findall(token.lower()):
             row[0] += 1
             if (v := self.model.word(word)) is not None:
                 row[1] += 1
-                row[2:] += v
+                row[2] += self.model.known(word)
+                row[3:] += v
         i = self[token] = len(self)
         self.rows[i] = row
         return i
@@ -141,7 +149,8 @@ def identify(text: Column, model: Model) -> Column:
 
     ``lang`` has the greatest mean log frequency a scored word, on a tie the first by name;
     ``margin`` is its lead over the next (0 if there is one language only). Accepted: at
-    least one scored word, MIN_SCORED of all words scored, and a lead of MIN_MARGIN. A
+    least one scored word, MIN_SCORED of all words known by at least one letter (the space
+around a word is known in every language), and a lead of MIN_MARGIN. A
     null, empty or letterless text has lang 'und', margin 0, and isn't accepted. Texts are
     read whole. A pandas UDF, no shuffle.
     """
@@ -168,11 +177,11 @@ def _broadcast(model: Model):
 def _verdict(total: np.ndarray | None, m: Model) -> tuple[str, float, int, bool]:
     if total is None or total[1] == 0:
         return "und", 0.0, int(total[0]) if total is not None else 0, False
-    means = total[2:] / total[1]
+    means = total[3:] / total[1]
     order = np.argsort(-means, kind="stable")
     margin = float(means[order[0]] - means[order[1]]) if len(order) > 1 else 0.0
     margin = round(margin, 4)
-    ok = (len(order) == 1 or margin >= MIN_MARGIN) and total[1] >= MIN_SCORED * total[0]
+    ok = (len(order) == 1 or margin >= MIN_MARGIN) and total[2] >= MIN_SCORED * total[0]
     return m.langs[order[0]], margin, int(total[0]), bool(ok)
 
 
