@@ -78,7 +78,7 @@ def test_odd_rows_and_empty_tables(spark, name):
     if name == "substrings":  # only the long text repeats itself; repeated rows are one document
         assert {r["doc_id"] for r in got} == {6} and any(r["removed"] for r in got)
     if name == "join":
-        assert got == []
+        assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in got) and len(got) == 9
     if name == "mixing":
         assert len(got) <= len(ODD) and len({(r["shard"], r["position"]) for r in got}) == len(got)
     if name == "url":
@@ -319,26 +319,74 @@ def test_cascade_is_exact(spark):
 # --- 9: n-gram join ---
 
 
-def test_join_recall_and_rtree():
+def brute_groups(made, t=0.5, n=2):
+    """doc_id -> (class_id, n_copies, n_links) by comparing all pairs."""
+    sets = {}
+    for i, text in made:
+        w = common.words_of(text)
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < n else zip(*(w[k:] for k in range(n))))
+    kinds = sorted({s for s in sets.values() if s}, key=lambda s: min(i for i in sets if sets[i] == s))
+    near = {s: [z for z in kinds if z != s and len(s & z) / len(s | z) >= t] for s in kinds}
+    root = {}
+    for s in kinds:
+        todo = [] if s in root else [s]
+        while todo:
+            z = todo.pop()
+            if z not in root:
+                root[z] = s
+                todo += near[z]
+    least = {s: min(i for i in sets if sets[i] == s) for s in kinds}
+    return {i: (least[root[s]], sum(z == s for z in sets.values()) - 1, len(near[s])) if s else (i, 0, 0) for i, s in sets.items()}
+
+
+def joined(spark, made, **options):
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in rows(ngramjoin.jaccard_join(df, **options))}
+
+
+def test_short_shared_and_long_other_words(spark):
+    rng = np.random.default_rng(5)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), k))
+    made = []
+    for i in range(12):  # shared words are short, those of one text long: half of all bigrams are shared
+        shared = [word(2) for _ in range(41)]
+        made += [(2 * i, " ".join(shared + [word(20) for _ in range(20)])), (2 * i + 1, " ".join(shared + [word(20) for _ in range(20)]))]
+    want = brute_groups(made)
+    assert sum(x[2] for x in want.values()) == 24
+    assert joined(spark, made) == want
+
+
+@pytest.mark.parametrize("seed,hot,leaf", [(1, 8192, 64), (2, 3, 4), (3, 5, 64)])
+def test_join_is_brute_force(spark, monkeypatch, seed, hot, leaf):
+    monkeypatch.setattr(ngramjoin, "LEAF", leaf)
+    monkeypatch.setattr(ngramjoin.RTree.__init__, "__defaults__", (None, leaf, 3))
+    rng = np.random.default_rng(seed)
+    made = []
+    for g in range(12):
+        base = [f"w{x}" for x in rng.zipf(1.3, int(rng.integers(1, 90))) % 400]
+        for _ in range(int(rng.integers(1, 25))):
+            t = [w if rng.random() > rng.choice([0, 0.05, 0.3]) else f"v{rng.integers(60)}" for w in base]
+            made.append((len(made), " ".join(t[int(rng.integers(0, 1 + len(t) // 4)) :])))
+    made += [(len(made), ""), (len(made) + 1, "?!")]
+    assert joined(spark, made, hot=hot) == brute_groups(made)
+
+
+def test_large_blocks_and_rtree():
     rng = np.random.default_rng(7)
-    base = [rng.integers(0, 2**62, 200).astype(np.uint64) for _ in range(6)]
-    sets = []
-    for b in base:
-        for _ in range(12):
-            s = b.copy()
-            at = rng.random(200) < rng.uniform(0, 0.35)
-            s[at] = rng.integers(0, 2**62, at.sum())
-            sets.append(np.unique(s))
-    size = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat = np.concatenate(sets)
-    vec = ngramjoin._counts(flat, starts, size, np.repeat(np.arange(len(sets)), size))
-    got = {tuple(sorted(p)) for p in ngramjoin._block_pairs(np.zeros((len(sets), 1), np.uint32), vec, size, 0, 0.5).tolist()}
+    base = [rng.integers(0, 2**62, 40).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.where(rng.random(40) < rng.uniform(0, 0.3), rng.integers(0, 2**62, 40).astype(np.uint64), b)) for b in base for _ in range(70)]
+    flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    point = ngramjoin._points(flat, np.repeat(np.arange(len(sets)), size), len(sets))
+    size = size.astype(np.int64)
+    got = set()
+    for x, y in ngramjoin.RTree(point, size, leaf=4, fanout=3).join(0.5):
+        keep = np.minimum(point[x], point[y]).sum(1) >= (size[x] + size[y]) / 3
+        got |= {tuple(sorted(p)) for p in zip(x[keep].tolist(), y[keep].tolist())}
     jac = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if jac(sets[i], sets[j]) >= 0.5}
-    assert {tuple(sorted(p)) for p in want} <= got and len(got) < len(sets) ** 2 / 3
-    bits = ngramjoin._Bits(np.arange(len(sets)), sets)
-    i, j = np.array([p for p in want]).T
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if jac(sets[i], sets[j]) >= 0.5}
+    assert want <= got and len(got) < len(sets) ** 2 / 3
+    bits = ngramjoin._Bits(np.array([b"%016d" % i for i in range(len(sets))]), sets)
+    i, j = np.array(sorted(want)).T
     assert (bits.overlap(i, j) == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]).all()
 
 
@@ -347,12 +395,16 @@ def test_one_of_each_group_stays(spark):
     base = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
     near = base.copy()
     near[10] = "other"
-    made = [(5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (9, " ".join(base)), (8, "all by itself here"), (7, None), (7, None), (None, " ".join(base)), (4, "?")]
+    made = [(5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (9, " ".join(base)), (8, "all by itself here"), (7, None), (7, None), (None, " ".join(base)), (4, "?"), (2, "again and again"), (2, "again and again")]
     df = spark.createDataFrame([(*m, "x") for m in made], "doc_id long, text string, key string")
     kept = rows(ngramjoin.drop_near_duplicates(df), "doc_id")
-    assert [r["doc_id"] for r in kept] == [3, 4, 7, 7, 8] and kept[0].keys() == {"doc_id", "text", "key"}
-    pairs = {(r["doc_a"], r["doc_b"]) for r in rows(ngramjoin.jaccard_join(df))}
-    assert (3, 5) in pairs and (5, 9) in pairs and not any(8 in p for p in pairs)
+    assert [r["doc_id"] for r in kept] == [2, 3, 4, 7, 7, 8] and kept[0].keys() == {"doc_id", "text", "key"}
+    found = {(r["doc_a"], r["doc_b"]) for r in rows(ngramjoin.similar_pairs(df))}
+    assert found == {(3, 5)}
+    got = {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in rows(ngramjoin.jaccard_join(df))}
+    assert got == {5: (3, 2, 1), 9: (3, 2, 1), None: (3, 2, 1), 3: (3, 0, 1), 8: (8, 0, 0), 7: (7, 0, 0), 4: (4, 0, 0), 2: (2, 0, 0)}
+    named = spark.createDataFrame([("b", "one two three"), ("a", "one two three")], "doc_id string, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in rows(ngramjoin.jaccard_join(named))} == {("a", "a"), ("b", "a")}
 
 
 def test_components(spark):

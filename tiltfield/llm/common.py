@@ -111,6 +111,12 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """``k1, k2``: 128 bits that name a row by its content, so that null or repeated ids need no special case."""
+    parts = [F.struct(F.col(c).isNull(), F.col(c)) for c in columns]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((0x5EED, "k1"), (0xBEEF01, "k2"))]
+
+
 class HashCache(dict):
     """token -> 64-bit hash, kept for at most ``limit`` tokens at a time."""
 

@@ -1,40 +1,51 @@
-"""N-gram Jaccard join over count vectors in an R-tree.
+"""N-gram Jaccard join over count vectors in R-trees, without a lost pair.
 
 A document is the set of hashes of its word n-grams. Documents with equal sets form a
 class, of which one stands for all. A set's n-grams fall into GROUPS groups by hash; their
-counts are a point, and two sets share at most the sum of their coordinates' minima. The
-points of a block are bulk-loaded into an R-tree, which is joined with itself: two
-nodes, then two points, go on only while that bound (with the sizes) still allows the
-threshold. Points that pass are compared again with more groups, about half as many
-as the set has n-grams; GROUPS coordinates are sums of these. Surviving pairs are verified
-on the sets themselves.
-
-A single tree over the corpus can't be spread over executors without comparing all leaves
-with all, since in so many dimensions boxes overlap. So documents first fall into blocks:
-a set has KEYS weighted min-hashes, and the tree is built over the sets that agree on one.
-Two sets with Jaccard similarity s share no block with chance about (1 - s)**KEYS, 2e-7 at
-the threshold. Min-hashes favour long n-grams (their weight is the square of their
-length): short words repeat everywhere and would only make blocks larger.
+counts are a point, and two sets share at most the sum of their coordinates' minima.
+
+A single tree over the corpus can't be spread over executors, since in so many dimensions
+its boxes overlap. So sets fall into blocks, one for each n-gram of a rarest-first prefix:
+in any one order of all n-grams, two sets of p and q that share at least
+a = T / (1 + T) (p + q) of them must both have the first shared one among their first p - a + 1 and
+q - a + 1. A pair is looked at in the block of its first shared n-gram only (blocks in which
+two rows have one of their last LAST prefix n-grams in common are known not to be that one),
+where its places in both sets bound the overlap too. The order goes by document frequency:
+a first pass counts n-grams into a table of the shared folder. Any table would do, rare
+n-grams first just keep blocks small; n-grams of a single document need no block.
+
+Each block's points are bulk-loaded into an R-tree, which is joined with itself: two
+nodes, then two points, go on only while the bounds allow the threshold. Surviving pairs
+are verified on the sets themselves. A block of more than HOT sets is cut into chunks that
+meet pairwise in blocks of their own, so that no task holds an unbounded one.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, materialize, mix, odd_constants, row_key, shared_dir, word_hashes
+from .common import arrow_slices, get_blob, materialize, mix, put_blob, row_keys, shared_dir, word_hashes
+from .urlfilter import bloom
 
 #: Words of an n-gram, least Jaccard similarity of a pair.
 NGRAM, THRESHOLD = 2, 0.5
-#: Coordinates of a point; min-hashes of a set; children of an R-tree node.
-GROUPS, KEYS, FANOUT = 32, 22, 16
+#: Coordinates of a point; points of a leaf, children of a node; n-grams before its own that a row of a block names.
+GROUPS, LEAF, FANOUT, LAST = 32, 64, 16, 3
+#: Sets of a block (by the frequency table) from which it is cut; rows that a task of blocks aims at.
+HOT, PART_ROWS = 8192, 200_000
+#: N-grams that a task counts at once; characters of text whose n-grams one task merges; bits of a file of frequencies.
+BUFFER, SHARD_CHARS, FILE_BITS = 2_000_000, 32 << 20, 24
 _SEED = 41
+_U = np.uint64
 
 
 class _Grams:
-    """Sorted distinct n-gram hashes of texts; the low six bits are the n-gram's letters.
+    """Sorted distinct n-gram hashes of texts.
 
     A text of fewer words than an n-gram has is one short n-gram; one without words has none.
     """
@@ -44,20 +55,18 @@ class _Grams:
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The sets of texts laid end to end, and their sizes."""
-        h, letters, start = word_hashes(texts)
+        h, _, start = word_hashes(texts)
         n, words = self.n, np.diff(start)
         text = np.repeat(np.arange(len(texts)), words)
-        gram, size, last = h, letters, np.arange(len(h))
+        gram, last = h, np.arange(len(h))
         for i in range(1, n):
             on = np.minimum(last + i, len(h) - 1)
             # within its text a run grows; at the end of a text that is too short it stays as it is
             ok = (last + i < len(h)) & (text[on] == text) if len(h) else np.zeros(0, bool)
-            gram = np.where(ok, mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[on]), gram)
-            size = np.where(ok, size + letters[on], size)
+            gram = np.where(ok, mix(gram * _U(0x9E3779B97F4A7C15) + h[on]), gram)
         whole = np.arange(len(h)) + n <= start[1:][text] if len(h) else np.zeros(0, bool)
         whole |= (words < n)[text] & (np.arange(len(h)) == start[:-1][text])
-        gram = (mix(gram[whole]) & ~np.uint64(63)) | np.minimum(size[whole], 63).astype(np.uint64)
-        text = text[whole]
+        gram, text = mix(gram[whole]), text[whole]
         edge = np.searchsorted(text, np.arange(len(texts) + 1))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             gram[a:b].sort()
@@ -66,258 +75,441 @@ class _Grams:
         return gram[fresh], np.bincount(text[fresh], minlength=len(texts))
 
 
-def signatures(grams: np.ndarray, starts: np.ndarray, keys: int = KEYS) -> np.ndarray:
-    """Weighted min-hashes (uint32) of sets laid end to end: sets x keys."""
-    out = np.empty((len(starts), keys), np.uint32)
-    weight = 1 / ((grams & np.uint64(63)).astype(np.float32) ** 2 + np.float32(1))
-    names = (mix(grams) >> np.uint64(32)).astype(np.uint32)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(grams))))
-    for k, c in enumerate(odd_constants(keys, _SEED)):
-        u = ((grams * c) >> np.uint64(40)).astype(np.float32)
-        value = np.log((u + np.float32(1)) * np.float32(2.0**-24.001)) * weight  # below 0: the least min-hash is the greatest
-        at = np.flatnonzero(value == np.maximum.reduceat(value, starts)[owner])
-        best = np.full(len(starts), np.iinfo(np.uint32).max, np.uint32)
-        np.minimum.at(best, owner[at], names[at])  # a tie goes by name
-        out[:, k] = best
+class _Sets:
+    """The sets of a slice of texts, their classes, and which classes this task meets for the first time."""
+
+    def __init__(self, n: int):
+        self.grams, self.seen = _Grams(n), set()
+
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """N-grams on end, sizes, class names (None without words), whether each is new."""
+        g, size = self.grams.many([t or "" for t in texts])
+        names: list = [None] * len(texts)
+        new = np.zeros(len(texts), bool)
+        some = np.flatnonzero(size)
+        if len(some):
+            start = (np.cumsum(size) - size)[some]
+            one, two = np.add.reduceat(mix(g), start), np.add.reduceat(mix(g ^ _U(_SEED)), start)
+            for i, x, y in zip(some.tolist(), one, two):
+                names[i] = name = x.tobytes() + y.tobytes()
+                if name not in self.seen:
+                    self.seen.add(name)
+                    new[i] = True
+        return g, size, names, new
+
+
+# --- how many sets hold an n-gram ---
+
+
+class Frequencies:
+    """Slots of about a logarithm of the n-grams' frequencies, 0 for those of one set; files in the shared folder."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.file = folder, bits, min(bits, FILE_BITS)
+        self.open: dict = {}
+
+    def _part(self, f: int) -> np.ndarray:
+        if f not in self.open:
+            self.open[f] = get_blob(f"{self.folder}/frequency/{f}")
+        return self.open[f]
+
+    def codes(self, grams: np.ndarray) -> np.ndarray:
+        slot = (grams >> _U(64 - self.bits)).astype(np.int64)
+        if self.bits <= FILE_BITS:
+            return self._part(0)[slot]
+        out, part = np.empty(len(slot), np.uint8), slot >> FILE_BITS
+        for f in np.unique(part).tolist():
+            at = part == f
+            out[at] = self._part(f)[slot[at] & ((1 << FILE_BITS) - 1)]
+        return out
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    """Frequencies from 2 on to bytes, four to a doubling."""
+    return np.minimum(255, 1 + np.floor(4 * np.log2(count))).astype(np.uint8)
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of one length as compressed planes of bytes."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _columns(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 0, []
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    for kind in kinds:
+        kind = np.dtype(kind)
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
     return out
 
 
-def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``key, doc_id, cls, size, sig, vec`` for every row with words."""
+def frequencies(docs: DataFrame, n: int, folder: str) -> Frequencies:
+    """Count in how many sets each n-gram is; a class counts once a task.
+
+    Tasks send sorted 48-bit names by range; those that occur twice are kept, as the
+    greatest logarithm of a slot. Slots grow with the text, up to 2**33.
+    """
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    bits = min(33, max(10, int(chars // 16).bit_length()))
+    # ranges to merge are no coarser than the files
+    ranges = min(bits, max(int(chars // SHARD_CHARS).bit_length(), bits - FILE_BITS, 1))
+    width = bits - ranges
+
+    def count(batches):
+        sets, held, size = _Sets(n), [], 0
+
+        def out():
+            names, k = np.unique(np.concatenate(held), return_counts=True)
+            shard = (names >> _U(48 - ranges)).astype(np.int64)
+            at = np.flatnonzero(np.diff(shard, prepend=-1))
+            blobs = [_planes(np.diff(x, prepend=_U(0)), c.astype(np.uint32)) for x, c in zip(np.split(names, at[1:]), np.split(k, at[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+        for batch in batches:
+            for a, b in arrow_slices(batch.column(0), 1 << 20):
+                g, sizes, _, new = sets(batch.column(0)[a:b].to_pylist())
+                held.append(g[np.repeat(new, sizes)] >> _U(16))
+                size += len(held[-1])
+                if size > BUFFER:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = int(pdf["shard"].iloc[0])
+        found = [_columns(b, "u8", "u4") for b in pdf["blob"]]
+        names, at = np.unique(np.concatenate([np.cumsum(d, dtype=_U) for d, _ in found]), return_inverse=True)
+        k = np.bincount(at, np.concatenate([c for _, c in found]), len(names))
+        table = np.zeros(1 << width, np.uint8)
+        np.maximum.at(table, (names[k > 1] >> _U(48 - bits)).astype(np.int64) - (s << width), _code(k[k > 1]))
+        return pd.DataFrame({"file": [(s << width) >> min(bits, FILE_BITS)], "at": [s << width], "part": [table.tobytes()]})
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["file"].iloc[0])
+        table = np.zeros(1 << min(bits, FILE_BITS), np.uint8)
+        for at, part in zip(pdf["at"], pdf["part"]):
+            here = table[(at & (len(table) - 1)) :][: len(part)]
+            np.maximum(here, np.frombuffer(part, np.uint8), out=here)
+        put_blob(f"{folder}/frequency/{f}", table.tobytes())
+        return pd.DataFrame({"file": [f]})
+
+    parts = docs.select("text").mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInPandas(merge, "file long, at long, part binary")
+    every = docs.sparkSession.range(1 << max(0, bits - FILE_BITS)).select(F.col("id").alias("file"), F.lit(0).cast("long").alias("at"), F.lit(b"").alias("part"))
+    parts.unionByName(every).groupBy("file").applyInPandas(write, "file long").collect()
+    return Frequencies(folder, bits)
+
+
+# --- sets, their points and prefixes ---
+
+
+def _points(grams: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """Counts of each set's n-grams by group: sets x GROUPS."""
+    return np.bincount(owner * GROUPS + (mix(grams) % _U(GROUPS)).astype(np.int64), minlength=sets * GROUPS).reshape(sets, GROUPS).astype(np.uint32)
+
+
+def prefixes(grams: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets laid end to end: set, place and index of the n-grams that get a block.
+
+    Places are those in the order by (code, n-gram); those beyond the prefix, and n-grams
+    of a single set, are left out.
+    """
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(owner * 256 + codes, kind="stable")  # n-grams ascend already
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+    longest = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    keep = (place < longest[owner]) & (codes[order] > 0)
+    return owner[keep], place[keep], order[keep]
+
+
+def features(docs: DataFrame, frequency: Frequencies, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``k1, k2, doc_id, cls, size, n_blocks, point, grams, places`` of every row.
+
+    A row without words has no class. Of a class that a task meets again, and without
+    words, the last four are empty.
+    """
 
     def work(batches):
-        grams = _Grams(n)
+        sets, table = _Sets(n), Frequencies(frequency.folder, frequency.bits)
         for batch in batches:
-            for a, b in arrow_slices(batch.column(2), 1 << 20):
-                g, sizes = grams.many(batch.column(2)[a:b].to_pylist())
-                some = np.flatnonzero(sizes)
-                if not len(some):
-                    continue
-                size = sizes[some]
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                sig = signatures(g, starts)
-                owner = np.repeat(np.arange(len(some)), size)
-                vec = _counts(g, starts, size, owner)
-                one, two = np.add.reduceat(mix(g), starts), np.add.reduceat(mix(g ^ np.uint64(_SEED)), starts)
-                cls = [x.tobytes() + y.tobytes() for x, y in zip(one, two)]
-                index = pa.array(some + a)
+            for a, b in arrow_slices(batch.column(3), 1 << 20):
+                g, size, names, new = sets(batch.column(3)[a:b].to_pylist())
+                owner = np.repeat(np.arange(b - a), size)
+                on = new[owner]
+                g, owner, held = g[on], owner[on], np.where(new, size, 0)
+                who, place, at = prefixes(g, table.codes(g), held, threshold)
+                k = np.bincount(who, minlength=b - a)
+                ends = np.cumsum(k).tolist()
+                point = _points(g, owner, b - a)
+                grams, places = g[at].tobytes(), place.astype(np.uint32).tobytes()
+                cut = list(zip([0, *ends[:-1]], ends))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(vec, pa.binary())],
-                    names=["key", "doc_id", "cls", "size", "sig", "vec"],
-                )
+                    [
+                        *(batch.column(i)[a:b] for i in range(3)), pa.array(names, pa.binary()), pa.array(size, pa.int32()), pa.array(k, pa.int32()),
+                        pa.array([p.tobytes() if x else b"" for p, x in zip(point, k)], pa.binary()),
+                        pa.array([grams[8 * x : 8 * y] for x, y in cut], pa.binary()), pa.array([places[4 * x : 4 * y] for x, y in cut], pa.binary()),
+                    ],
+                    names=["k1", "k2", "doc_id", "cls", "size", "n_blocks", "point", "grams", "places"],
+                )
 
-    texts = docs.where("text is not null").select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    return texts.mapInArrow(work, "key long, doc_id long, cls binary, size int, sig binary, vec binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _keyed(docs).mapInArrow(work, f"k1 long, k2 long, doc_id {kind}, cls binary, size int, n_blocks int, point binary, grams binary, places binary")
 
 
-def _counts(grams: np.ndarray, starts: np.ndarray, size: np.ndarray, owner: np.ndarray) -> list[bytes]:
-    """Each set's counts by group, one byte each, over a power of two of groups.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*row_keys("doc_id", "text"), "doc_id", "text")
 
-    There are at least GROUPS groups and half as many as n-grams, more where a byte overflows.
-    """
-    groups = np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(size / 2, 1))).astype(np.int64))
-    names = (grams >> np.uint64(20)).astype(np.int64) & 0xFFFFFFFF
-    while True:
-        ends = np.cumsum(groups)
-        flat = np.bincount((ends - groups)[owner] + names % groups[owner], minlength=int(ends[-1]))
-        most = np.maximum.reduceat(flat, ends - groups)
-        if most.max() < 256:
-            break
-        groups = np.where(most > 255, 2 * groups, groups)
-    flat = flat.astype(np.uint8)
-    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), groups.tolist())]
-
-
-class _Points:
-    """Count vectors of a block: folded to GROUPS coordinates, and as they are by their length."""
-
-    def __init__(self, vec: list[bytes], size: np.ndarray):
-        self.size, self.groups = size.astype(np.int64), np.array([len(v) for v in vec])
-        self.coarse = np.zeros((len(vec), GROUPS), np.int32)
-        self.row, self.fine = np.zeros(len(vec), np.int64), {}
-        for n in np.unique(self.groups).tolist():
-            at = np.flatnonzero(self.groups == n)
-            self.row[at] = np.arange(len(at))
-            m = np.frombuffer(b"".join(vec[i] for i in at), np.uint8).reshape(-1, n)
-            self.fine[n, n] = m
-            self.coarse[at] = m.reshape(len(at), -1, GROUPS).sum(1, dtype=np.int32)
-
-    def _folded(self, n: int, to: int) -> np.ndarray:
-        if (n, to) not in self.fine:
-            m = self.fine[n, n]
-            self.fine[n, to] = m.reshape(len(m), n // to, to).sum(1, dtype=np.uint16)
-        return self.fine[n, to]
-
-    def allowed(self, pairs: np.ndarray, share: float) -> np.ndarray:
-        """Which pairs may still overlap in ``share`` of their sizes' sum, by the finer counts."""
-        i, j = pairs[:, 0], pairs[:, 1]
-        need = share * (self.size[i] + self.size[j]) - 1e-9
-        out = np.zeros(len(pairs), bool)
-        kind = self.groups[i] * (1 << 32) + self.groups[j]
-        for k in np.unique(kind).tolist():
-            at = np.flatnonzero(kind == k)
-            p, q = k >> 32, k & 0xFFFFFFFF
-            to = min(p, q)
-            left, right = self._folded(p, to), self._folded(q, to)
-            step = max(1, (2 << 20) // to)
-            for s in range(0, len(at), step):
-                part = at[s : s + step]
-                out[part] = np.minimum(left[self.row[i[part]]], right[self.row[j[part]]]).sum(1, dtype=np.int64) >= need[part]
-        return out
+
+# --- blocks ---
 
 
 class RTree:
-    """Sort-tile-recursive R-tree over count vectors; only upper corners matter to the bound."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
-        self.order = self._tile(points, sizes, fanout)
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # from the leaves up: upper corners, least and greatest set sizes
-        top, lo, hi = self.points, self.sizes, self.sizes
-        while len(top) > 1:
-            at = np.arange(0, len(top), fanout)
-            top, lo, hi = np.maximum.reduceat(top, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
-            self.levels.append((top, lo, hi))
-        self.fanout = fanout
+    """R-tree over count vectors, bulk-loaded; only upper corners matter to the bound.
+
+    ``tag`` names the n-gram before a row's own, 0 if there is none: rows of one tag have met before.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, tag: np.ndarray | None = None, leaf: int = LEAF, fanout: int = FANOUT):
+        tag = np.zeros(len(points), _U) if tag is None else tag
+        self.order = self._tile(points, sizes, tag, leaf)
+        self.leaf, self.fanout = leaf, fanout
+        self.levels = []  # from the leaves up: upper corners, least and greatest sizes and tags
+        top, lo, hi, t0, t1 = points[self.order], sizes[self.order], sizes[self.order], tag[self.order], tag[self.order]
+        while len(self.levels) == 0 or len(top) > 1:
+            at = np.arange(0, len(top), fanout if self.levels else leaf)
+            top, lo, hi, t0, t1 = np.maximum.reduceat(top, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(t0, at), np.maximum.reduceat(t1, at)
+            self.levels.append((top, lo, hi, t0, t1))
 
     @staticmethod
-    def _tile(points, sizes, fanout):
-        order = np.argsort(sizes, kind="stable")
-        todo, out = [(order, 0)], []
+    def _tile(points, sizes, tag, leaf):
+        order = np.lexsort((sizes, tag))
+        parts = np.split(order, np.flatnonzero(tag[order[1:]] != tag[order[:-1]]) + 1)
+        large, small = [p for p in parts if len(p) > leaf], [p for p in parts if len(p) <= leaf]
+        todo, out = large[::-1], []
+        if small:
+            out.append(np.concatenate(small))
         while todo:
-            part, depth = todo.pop()
-            if len(part) <= fanout:
+            part = todo.pop()
+            if len(part) <= leaf:
                 out.append(part)
                 continue
             spread = points[part].var(0)
             part = part[np.argsort(points[part, int(spread.argmax())], kind="stable")]
-            half = max(fanout, (len(part) // 2 + fanout - 1) // fanout * fanout)
-            todo += [(part[half:], depth + 1), (part[:half], depth + 1)]
+            half = max(leaf, (len(part) // 2 + leaf - 1) // leaf * leaf)
+            todo += [part[half:], part[:half]]
         return np.concatenate(out)
 
     def join(self, threshold: float):
-        """Index pairs (into the points as given) that the bound can't rule out."""
+        """Index pairs (into the points as given) of leaves' points that the nodes' bounds can't rule out, in parts."""
         share = threshold / (1 + threshold)
-        if len(self.points) < 2:
-            return np.empty((0, 2), np.int64)
         a = b = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             if level < len(self.levels) - 1:
-                a, b = self._children(a, b, len(self.levels[level][0]))
-            top, lo, hi = self.levels[level]
-            keep = np.concatenate([self._may(top, lo, hi, a[i : i + 65536], b[i : i + 65536], share, threshold) for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
+                a, b = self._children(a, b, self.fanout, len(self.levels[level][0]))
+            keep = np.concatenate([self._may(self.levels[level], a[i : i + 65536], b[i : i + 65536], share, threshold) for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
             a, b = a[keep], b[keep]
-        found = []
-        for i in range(0, len(a), 4096):
-            x, y = self._children(a[i : i + 4096], b[i : i + 4096], len(self.points))
-            keep = (x < y) & self._may(self.points, self.sizes, self.sizes, x, y, share, threshold)
-            found.append(np.stack([self.order[x[keep]], self.order[y[keep]]], 1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-    def _children(self, a, b, n):
-        f = np.arange(self.fanout)
-        x = np.repeat(a[:, None] * self.fanout + f, self.fanout, 1).ravel()
-        y = np.tile(b[:, None] * self.fanout + f, self.fanout).ravel()
+        step = max(1, (1 << 20) // self.leaf**2)
+        for i in range(0, len(a), step):
+            x, y = self._children(a[i : i + step], b[i : i + step], self.leaf, len(self.order))
+            keep = x < y
+            yield self.order[x[keep]], self.order[y[keep]]
+
+    @staticmethod
+    def _children(a, b, fanout, n):
+        f = np.arange(fanout)
+        x = np.repeat(a[:, None] * fanout + f, fanout, 1).ravel()
+        y = np.tile(b[:, None] * fanout + f, fanout).ravel()
         keep = (x <= y) & (x < n) & (y < n)
         return x[keep], y[keep]
 
     @staticmethod
-    def _may(top, lo, hi, x, y, share, threshold):
+    def _may(level, x, y, share, threshold):
         # a pair of sizes p, q needs an overlap of share * (p + q), and p >= threshold * q
-        may = (hi[x] >= threshold * lo[y]) & (hi[y] >= threshold * lo[x])
+        top, lo, hi, t0, t1 = level
+        may = (hi[x] >= threshold * lo[y] - 1e-9) & (hi[y] >= threshold * lo[x] - 1e-9)
+        may &= ~((t0[x] == t1[x]) & (t0[y] == t1[y]) & (t0[x] == t0[y]) & (t0[x] != 0))
         at = np.flatnonzero(may)
-        bound = np.minimum(top[x[at]], top[y[at]]).sum(1)
-        may[at] = bound + 1e-9 >= share * (lo[x[at]] + lo[y[at]])
+        bound = np.minimum(top[x[at]], top[y[at]]).sum(1, dtype=np.int64)
+        may[at] = bound + 1e-6 >= share * (lo[x[at]] + lo[y[at]])
         return may
 
 
-def _block_pairs(sig: np.ndarray, vec: list[bytes], size: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    points = _Points(vec, size)
-    pairs = RTree(points.coarse, points.size).join(threshold)
-    if k and len(pairs):  # a pair is handled in the first block that it shares
-        out = [p[~(sig[p[:, 0], :k] == sig[p[:, 1], :k]).any(1)] for p in (pairs[i : i + 262144] for i in range(0, len(pairs), 262144))]
-        pairs = np.concatenate(out)
-    return pairs[points.allowed(pairs, threshold / (1 + threshold))] if len(pairs) else pairs
+#: Columns of block rows: n-gram, the block's chunks (0 if it is whole), class, own chunk, size, place, n-grams before, point.
+_KINDS = {"gram": "u8", "sub": "u8", "hi": "u8", "lo": "u8", "own": "u4", "size": "u4", "place": "u4"} | {f"last{i}": "u8" for i in range(LAST)} | {f"point{i}": "u4" for i in range(GROUPS)}
+_CHUNKS = 1 << 20  # chunks of one block, at most
+
+
+def _block_rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The rows that a batch of features sends to its blocks."""
+    k = batch.column("n_blocks").to_numpy()
+    batch, k = batch.take(pa.array(np.flatnonzero(k))), k[k > 0]
+    flat = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+    gram, cls, point = flat("grams", _U), flat("cls", _U).reshape(-1, 2), flat("point", np.uint32).reshape(-1, GROUPS)
+    own = np.repeat(np.arange(len(k)), k)
+    inside = np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)
+    rows = {"gram": gram, "sub": np.zeros(len(gram), _U), "hi": cls[own, 0], "lo": cls[own, 1], "own": np.zeros(len(gram), np.uint32)}
+    rows |= {"size": batch.column("size").to_numpy().astype(np.uint32)[own], "place": flat("places", np.uint32)}
+    for i in range(LAST):
+        rows[f"last{i}"] = np.where(inside > i, np.roll(gram, i + 1), _U(0))
+    return rows | {f"point{i}": point[own, i] for i in range(GROUPS)}
+
+
+def _cut_hot(rows: dict[str, np.ndarray], codes: np.ndarray, hot: int) -> dict[str, np.ndarray]:
+    """Rows of blocks that may hold more than ``hot`` sets go to a block for each pair of chunks with their own."""
+    chunks = np.minimum(np.ceil(2.0 ** (codes / 4.0) / hot), _CHUNKS).astype(np.int64)
+    many = np.flatnonzero(chunks > 1)
+    if not len(many):
+        return rows
+    k = chunks[many]
+    other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    mine = np.repeat((mix(rows["hi"][many]) % k.astype(_U)).astype(np.int64), k)
+    cut = {c: v[np.repeat(many, k)] for c, v in rows.items()}
+    cut["sub"] = (np.minimum(mine, other) * _CHUNKS + np.maximum(mine, other) + 1).astype(_U)
+    cut["own"] = mine.astype(np.uint32)
+    rest = np.flatnonzero(chunks == 1)
+    return {c: np.concatenate([v[rest], cut[c]]) for c, v in rows.items()}
+
+
+class _Blocks:
+    """Block rows of one task: sorted by block, each class once in it."""
+
+    def __init__(self, rows: dict[str, np.ndarray], threshold: float):
+        order = np.lexsort((rows["lo"], rows["hi"], rows["sub"], rows["gram"]))
+        name = [rows[c][order] for c in ("gram", "sub", "hi", "lo")]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in name])
+        order = order[new]
+        self.gram, self.sub, self.hi, self.lo, self.own = (rows[c][order] for c in ("gram", "sub", "hi", "lo", "own"))
+        self.size, self.place = (rows[c][order].astype(np.int64) for c in ("size", "place"))
+        self.last = np.stack([rows[f"last{i}"][order] for i in range(LAST)], 1)
+        self.point = np.stack([rows[f"point{i}"][order] for i in range(GROUPS)], 1)
+        # in a block of two chunks only rows of different ones meet
+        self.whole = (self.sub == 0) | ((self.sub - _U(1)) // _U(_CHUNKS) == (self.sub - _U(1)) % _U(_CHUNKS))
+        self.threshold, self.share = threshold, threshold / (1 + threshold)
+        change = np.ones(len(order), bool)
+        change[1:] = (self.gram[1:] != self.gram[:-1]) | (self.sub[1:] != self.sub[:-1])
+        self.start = np.flatnonzero(change)
+        self.rows = np.diff(np.append(self.start, len(order)))
+
+    def pairs(self):
+        """Index pairs that no bound rules out, in parts; blocks of one leaf are compared many at once."""
+        for m in np.unique(self.rows[(self.rows > 1) & (self.rows <= LEAF)]).tolist():
+            start = self.start[self.rows == m]
+            i, j = np.triu_indices(m, 1)
+            step = max(1, (1 << 19) // len(i))
+            for s in range(0, len(start), step):
+                part = start[s : s + step, None]
+                yield self._allowed((part + i).ravel(), (part + j).ravel())
+        for s, m in zip(self.start[self.rows > LEAF].tolist(), self.rows[self.rows > LEAF].tolist()):
+            # rows of chunks that are compared within one tree may not be told apart by their tags
+            tag = self.last[s : s + m, 0]
+            for x, y in RTree(self.point[s : s + m], self.size[s : s + m], tag).join(self.threshold):
+                yield self._allowed(x + s, y + s)
+
+    def _allowed(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, q = self.size[x], self.size[y]
+        need = self.share * (p + q) - 1e-6
+        # this n-gram is the first shared one, so the overlap is in what both have from it on
+        keep = (np.minimum(p - self.place[x], q - self.place[y]) >= need) & (np.minimum(p, q) >= self.threshold * np.maximum(p, q) - 1e-6) & (self.whole[x] | (self.own[x] != self.own[y]))
+        x, y, need = x[keep], y[keep], need[keep]
+        met = np.zeros(len(x), bool)
+        for i in range(LAST):
+            for j in range(LAST):
+                met |= (self.last[x, i] == self.last[y, j]) & (self.last[x, i] != 0)
+        x, y, need = x[~met], y[~met], need[~met]
+        keep = np.minimum(self.point[x], self.point[y]).sum(1, dtype=np.int64) >= need
+        return x[keep], y[keep]
+
 
+def _names(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    data = np.stack([hi, lo], 1).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(hi), [None, pa.py_buffer(np.arange(len(hi) + 1, dtype=np.int32) * 16), pa.py_buffer(data)])
 
-def _groups(batches, by):
-    """Rows of sorted batches as whole groups: dicts of arrays; a group may span batches."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        block = table.column(by).to_numpy()
-        edge = np.flatnonzero(block[1:] != block[:-1]) + 1
-        if len(edge):
-            yield table.slice(0, int(edge[-1])), np.concatenate([[0], edge[:-1]]), edge
-            held = table.slice(int(edge[-1]))
-        else:
-            held = table
-    if held is not None:
-        yield held, np.array([0]), np.array([held.num_rows])
-
-
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``block, a, b``: pairs of classes (by key) that a block's R-tree can't rule out, each once."""
-    keys = KEYS
-
-    def explode(batches):
+
+def candidates(every: DataFrame, frequency: Frequencies, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """``block, a, b``: pairs of classes that the trees can't rule out, each at least once."""
+    parts = max(1, -(-(every.agg(F.sum("n_blocks")).first()[0] or 0) // PART_ROWS))
+
+    def send(batches):
+        table = Frequencies(frequency.folder, frequency.bits)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, keys)
-            lanes = np.arange(keys, dtype=np.uint64)
-            block = (sig.astype(np.uint64) << np.uint64(5) | lanes) * np.uint64(0x9E3779B97F4A7C15)  # odd factor: blocks stay apart
-            yield pa.RecordBatch.from_arrays([pa.array(block.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), keys)))], names=["block", "key"])
+            for a in range(0, batch.num_rows, 4096):
+                rows = _block_rows(batch.slice(a, 4096))
+                rows = _cut_hot(rows, table.codes(rows["gram"]), hot)
+                part = (mix(rows["gram"] ^ mix(rows["sub"])) % _U(parts)).astype(np.int64)
+                order = np.lexsort((rows["gram"], part))
+                edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+                blobs = [_planes(*(rows[c][at].astype(kind) for c, kind in _KINDS.items())) for at in np.split(order, edge[1:]) if len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][edge]), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def join(batches):
-        for table, first, last in _groups(batches, "block"):
-            many = np.flatnonzero(last - first > 1)
-            if not len(many):
-                continue
-            table = table.combine_chunks()
-            key, block, size = (table.column(c).to_numpy() for c in ("key", "block", "size"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, keys)
-            vec = table.column("vec").to_pylist()
-            lane = (block.view(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))) & np.uint64(31)
-            out = []
-            for i in many:
-                s = slice(first[i], last[i])
-                pairs = _block_pairs(sig[s], vec[first[i] : last[i]], size[s], int(lane[first[i]]), threshold)
-                if len(pairs):
-                    out.append(pairs + first[i])
-            if out:
-                pairs = np.concatenate(out)
-                for j in range(0, len(pairs), 1 << 20):
-                    p = pairs[j : j + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(block[p[:, 0]]), pa.array(key[p[:, 0]]), pa.array(key[p[:, 1]])], names=["block", "a", "b"])
-
-    blocks = sets.select("key", "sig").mapInArrow(explode, "block long, key long")
-    shared = blocks.withColumn("n", F.count("*").over(Window.partitionBy("block"))).where("n > 1").select("block", "key")
-    rows = shared.join(sets.select("key", "size", "sig", "vec"), "key").select("block", "key", "size", "sig", "vec")
-    return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(join, "block long, a long, b long")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b, jaccard`` of the candidate pairs that reach the threshold.
-
-    A block's texts travel to it once each, with its pairs behind them.
+        for blobs in _by_part(batches):
+            found = [_columns(b, *_KINDS.values()) for b in blobs]
+            rows = {c: np.concatenate([f[i] for f in found]) for i, c in enumerate(_KINDS)}
+            del found
+            blocks = _Blocks(rows, threshold)
+            held, size = [], 0
+            for x, y in blocks.pairs():
+                held.append((x, y))
+                size += len(x)
+                if size > 1 << 18:
+                    yield _batch(blocks, held)
+                    held, size = [], 0
+            if size:
+                yield _batch(blocks, held)
+            pa.default_memory_pool().release_unused()
+
+    sent = every.where("n_blocks > 0").select("cls", "size", "n_blocks", "point", "grams", "places").mapInArrow(send, "part long, blob binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(join, "block long, a binary, b binary")
+
+
+def _by_part(batches):
+    """The blobs of each part, of rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if part != now and held:
+                yield held
+                held = []
+            now = part
+            held.append(blob.as_py())
+    if held:
+        yield held
+
+
+def _batch(blocks: _Blocks, held: list) -> pa.RecordBatch:
+    x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    swap = (blocks.hi[x] > blocks.hi[y]) | ((blocks.hi[x] == blocks.hi[y]) & (blocks.lo[x] > blocks.lo[y]))
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    block = mix(blocks.gram[x] ^ mix(blocks.sub[x])).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(block), _names(blocks.hi[x], blocks.lo[x]), _names(blocks.hi[y], blocks.lo[y])], names=["block", "a", "b"])
+
+
+# --- verification ---
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b, jaccard`` of the candidate pairs that reach the threshold, compared as sets of 64-bit n-grams.
+
+    A block's texts travel to it once each, with its pairs behind them; a Bloom filter keeps
+    texts that are in no pair out of the shuffle.
     """
-    ends = pairs.select("block", F.col("a").alias("key")).unionByName(pairs.select("block", F.col("b").alias("key"))).distinct()
-    texts = docs.where("text is not null").select(row_key("doc_id", "text").alias("key"), "text").join(ends.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    rows = ends.join(texts, "key").select("block", F.lit(None).cast("long").alias("a"), F.col("key").alias("b"), "text")
+    ends = pairs.select("block", F.col("a").alias("cls")).unionByName(pairs.select("block", F.col("b").alias("cls"))).distinct()
+    ends = materialize(ends.join(reps.select("cls", "m.k1", "m.k2"), "cls"), folder, "ends")
+    level = bloom(ends.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct(), ends.count(), 0.02, f"{folder}/wanted")
+    texts = docs.where("text is not null").select(*row_keys("doc_id", "text"), "text")
+    texts = texts.where(level.column(F.col("k1"), F.col("k2"))).dropDuplicates(["k1", "k2"])
+    rows = ends.join(texts, ["k1", "k2"]).select("block", F.lit(None).cast("binary").alias("a"), F.col("cls").alias("b"), "text")
     todo = rows.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("string").alias("text")))
 
     def work(batches):
         grams = _Grams(n)
         now, names, sets, bits = None, [], [], None
         for batch in batches:
-            block, b, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            block, texts = batch.column(0).to_numpy(), batch.column(3)
             is_pair = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            a = batch.column(1).fill_null(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1, [len(block)]]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
                 if s == e:
@@ -329,14 +521,18 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = NGRAM, threshold: float =
                     for x, y in arrow_slices(part, 1 << 20):
                         flat, sizes = grams.many(part[x:y].to_pylist())
                         sets += np.split(flat, np.cumsum(sizes)[:-1])
-                    names.append(b[s:e])
+                    names.append(_fixed(batch.column(2)[s:e]))
                     continue
                 if bits is None:
                     bits = _Bits(np.concatenate(names), sets)
-                yield _overlaps(a[s:e], b[s:e], bits, threshold)
+                yield _overlaps(batch.column(1)[s:e], batch.column(2)[s:e], bits, threshold)
 
     sized = todo.repartition("block").sortWithinPartitions("block", F.col("a").asc_nulls_first(), "b")
-    return sized.mapInArrow(work, "a long, b long, jaccard double")
+    return sized.mapInArrow(work, "a binary, b binary, jaccard double")
+
+
+def _fixed(names: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(names.to_pylist()), "S16")
 
 
 class _Bits:
@@ -381,52 +577,72 @@ class _Bits:
         return bits
 
 
-def _overlaps(a, b, bits: _Bits, threshold) -> pa.RecordBatch:
-    i, j = np.searchsorted(bits.names, a), np.searchsorted(bits.names, b)
+def _overlaps(a: pa.Array, b: pa.Array, bits: _Bits, threshold: float) -> pa.RecordBatch:
+    i, j = np.searchsorted(bits.names, _fixed(a)), np.searchsorted(bits.names, _fixed(b))
     both = bits.overlap(i, j)
     jac = both / (bits.size[i] + bits.size[j] - both)
-    keep = jac >= threshold
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(jac[keep])], names=["a", "b", "jaccard"])
+    at = pa.array(np.flatnonzero(jac >= threshold))
+    return pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(jac[jac >= threshold])], names=["a", "b", "jaccard"])
 
 
-def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """All features by row key, with each one's class representative; the representatives."""
-    folder = shared_dir(docs.sparkSession)
-    every = materialize(features(docs, n), folder, "features")
-    rep = every.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select("cls", F.col("m.key").alias("rep"), F.col("m.doc_id").alias("rep_id"))
-    named = materialize(every.select("key", "doc_id", "cls").dropDuplicates(["key"]).join(rep, "cls").select("key", "doc_id", "rep", "rep_id"), folder, "classes")
-    reps = named.where("key = rep").select("key")
-    sets = materialize(every.join(reps, "key", "left_semi").dropDuplicates(["key"]).select("key", "size", "sig", "vec"), folder, "sets")
-    return named, sets
-
-
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The rows' classes (``key, doc_id, rep, rep_id``) and the pairs of classes (``a, b, jaccard``)."""
-    named, sets = _classes(docs, n)
-    pairs = materialize(candidates(sets, threshold), shared_dir(docs.sparkSession), "pairs")
-    return named, verify(pairs, docs, n, threshold)
-
-
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_a, doc_b, jaccard``: pairs of documents whose n-gram sets are similar, smaller id first.
-
-    Documents with equal sets are a class; its least id stands for it. There is a row
-    for each pair of classes at or above the threshold, under the ids that stand for them,
-    and a row with 1.0 for each other member of a class and the one that stands for
-    it. So every pair follows from at most three rows, and thousands of copies make
-    thousands of rows, not millions. A row repeated in full is one document. Null ids are
-    last and stay null. Null texts and texts without words are in no pair; a text with
-    fewer words than ``n`` is one short n-gram. Jaccard is rounded to 6 decimals after the
-    comparison. Other columns are ignored; an empty table gives an empty result.
+# --- classes and groups ---
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Distinct rows (``k1, k2, doc_id, cls, n``), classes (``cls, m, members``), and pairs of classes (``a, b, jaccard``).
+
+    ``m`` is the row that stands for a class: the least by id (nulls last), then key.
     """
-    named, pairs = similar_sets(docs, n, threshold)
-    ids = named.where("key = rep").select("key", "doc_id")
-    left, right = (ids.select(F.col("key").alias(k), F.col("doc_id").alias(f"{k}_id")) for k in ("a", "b"))
-    apart = pairs.join(left, "a").join(right, "b")
+    folder = shared_dir(docs.sparkSession)
+    frequency = frequencies(docs.where("text is not null").select("text"), n, folder)
+    every = materialize(features(docs, frequency, n, threshold), folder, "features")
+    rows = every.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("cls").alias("cls"), F.count("*").alias("n"))
+    rows = materialize(rows, folder, "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2"))
+    reps = materialize(rows.where("cls is not null").groupBy("cls").agg(least.alias("m"), F.count("*").alias("members")), folder, "classes")
+    found = candidates(every, frequency, threshold, hot).groupBy("a", "b").agg(F.min("block").alias("block"))
+    pairs = materialize(found.select("block", "a", "b"), folder, "pairs")
+    return rows, reps, materialize(verify(pairs, reps, docs, folder, n, threshold), folder, "links"), folder
+
+
+def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_a, doc_b, jaccard``: pairs of classes at or above the threshold, by the ids that stand for them, smaller first."""
+    _, reps, links, _ = similar_sets(docs, n, threshold)
+    left, right = (reps.select(F.col("cls").alias(k), F.col("m.doc_id").alias(f"{k}_id")) for k in ("a", "b"))
     first = F.col("b_id").isNull() | (F.col("a_id") <= F.col("b_id"))
-    apart = apart.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("doc_a"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    same = named.where("key <> rep").select(F.col("rep_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return apart.unionByName(same)
+    ids = links.join(left, "a").join(right, "b")
+    return ids.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("doc_a"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def _grouped(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame, str]:
+    """Distinct rows, and by class: ``best`` (the row that stands for its group), members, links."""
+    rows, reps, links, folder = similar_sets(docs, n, threshold, hot)
+    roots = components(links.select("a", "b"), folder)
+    inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    inside = inside.join(reps, inside["node"] == reps["cls"]).select("cls", "root", "m")
+    best = inside.groupBy("root").agg(F.min("m").alias("best"))
+    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
+    known = inside.join(best, "root").select("cls", "best").join(ends, "cls")
+    classes = reps.join(known, "cls", "left").select("cls", F.coalesce("best", "m").alias("best"), "members", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows, classes, folder
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """``doc_id, class_id, n_copies, n_links`` of every document: its group, and with whom it is linked.
+
+    ``n_copies`` is the number of other documents with the same set of n-grams, ``n_links``
+    that of other sets at or above the threshold (each counts once, however many
+    documents have it); ``class_id`` is the least id of all documents that such
+    links, in one step or several, connect with it. A row repeated in full is one
+    document. Null ids are last: a group without any other id has a null one. Null texts
+    and texts without words are alone; a text with fewer words than ``n`` is one short
+    n-gram. Ids may be of any type that can be ordered. Other columns are ignored; an
+    empty table gives an empty result. ``similar_pairs`` lists the links themselves.
+    """
+    rows, classes, _ = _grouped(docs, n, threshold, hot)
+    out = rows.join(classes, "cls", "left")
+    mine = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return out.select("doc_id", mine.alias("class_id"), (F.coalesce("members", F.lit(1)) - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -452,38 +668,39 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         now, before = small, after
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each group of similar documents: a connected part of the pairs.
+def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: a connected part of the links.
 
     The least (doc_id, nulls last, key) of a group stays; of rows repeated in full one
-    stays. Rows without text or words are kept, all of them. All columns stay.
+    stays. Rows without text or words are kept, all of them. All columns stay. Only rows
+    that a Bloom filter takes for lost or repeated are shuffled.
     """
-    named, pairs = similar_sets(docs, n, threshold)
-    folder = shared_dir(docs.sparkSession)
-    roots = components(pairs.select("a", "b"), folder)
-    member = named.join(roots, named["rep"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "rep").alias("root"))
-    best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    lost = member.join(best.select("root", F.col("m.key").alias("keep")), "root").where("key <> keep").select("key")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key"))
-    return _one_of_each(rows.join(lost, "key", "left_anti"), docs).select("row.*")
-
-
-def _one_of_each(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of rows with words, one for each key."""
-    wordless = F.col("row.text").isNull() | ~F.col("row.text").rlike(r"[\p{L}\p{N}]")
-    number = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    return rows.withColumn("r", number).where((F.col("r") == 1) | wordless)
+    rows, classes, folder = _grouped(docs, n, threshold, hot)
+    lost = (F.col("k1") != F.col("best.k1")) | (F.col("k2") != F.col("best.k2"))
+    care = materialize(rows.where("cls is not null").join(classes, "cls").select("k1", "k2", lost.alias("lost"), "n").where("lost or n > 1").select("k1", "k2", "lost"), folder, "care")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text"))
+    if not (many := care.count()):
+        return row.select("row.*")
+    hit = bloom(care.select(F.col("k1").alias("a"), F.col("k2").alias("b")), many, 0.02, f"{folder}/cared").column(F.col("k1"), F.col("k2"))
+    known = row.where(hit).join(care, ["k1", "k2"], "left")
+    again = known.where("not lost").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return row.where(~hit).select("row.*").unionByName(known.where("lost is null").select("row.*")).unionByName(again.select("row.*"))
 
 
 ORACLE = f"""
-with w as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') k from (select distinct doc_id, text from documents)),
+with recursive w as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') k from (select distinct doc_id, text from documents)),
 g as (
   select doc_id, list_sort(list_distinct(case when len(k) < {NGRAM} then [array_to_string(k, ' ')]
     else list_transform(range(1, len(k) - {NGRAM} + 2), lambda i: array_to_string(k[i : i + {NGRAM} - 1], ' ')) end)) s
   from w where len(k) > 0),
 c as (select s, min(doc_id) rep, list(doc_id) members, len(s) size from g group by s),
 i as (select rep, size, unnest(s) x from c),
-o as (select a.rep a, b.rep b, a.size p, b.size q, count(*) n from i a join i b on a.x = b.x and a.rep < b.rep group by all)
-select a doc_a, b doc_b, round(n / (p + q - n), 6) jaccard from o where n / (p + q - n) >= {THRESHOLD}
-union all
-select rep, m, 1.0 from (select rep, unnest(members) m from c) where m <> rep"""
+o as (select a.rep a, b.rep b, a.size p, b.size q, count(*) n from i a join i b on a.x = b.x and a.rep < b.rep group by all),
+e as (select a, b from o where n / (p + q - n) >= {THRESHOLD} union all select b, a from o where n / (p + q - n) >= {THRESHOLD}),
+near(node, id) as (select distinct a, a from e union select e.b, near.id from near join e on e.a = near.node),
+least as (select node, min(id) id from near group by node),
+links as (select a, count(*) n from e group by a),
+of_rep as (select rep, members, coalesce(least.id, rep) class_id, coalesce(links.n, 0) n_links from c left join least on node = rep left join links on a = rep),
+found as (select unnest(members) doc_id, class_id, len(members) - 1 n_copies, n_links from of_rep)
+select w.doc_id, coalesce(f.class_id, w.doc_id) class_id, cast(coalesce(f.n_copies, 0) as bigint) n_copies, cast(coalesce(f.n_links, 0) as bigint) n_links
+from w left join found f using (doc_id)"""

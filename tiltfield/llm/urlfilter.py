@@ -56,6 +56,16 @@ class Level:
         return out
 
 
+    def column(self, a: Column, b: Column) -> Column:
+        """Whether the level takes in a key, given as two longs."""
+
+        @F.pandas_udf("boolean")
+        def work(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(self.test(*(s.to_numpy().astype(np.int64).view(np.uint64) for s in (a, b))))
+
+        return work(a, b)
+
+
 def positions(a: np.ndarray, b: np.ndarray, bits: int, hashes: int, salt: int) -> list[np.ndarray]:
     """A level's places of keys; each level has its own, or keys that meet on one would meet on all."""
     a, step = mix(a + np.uint64(salt * 0x9E3779B97F4A7C15 & MASK)), mix(b ^ np.uint64(salt)) | np.uint64(1)
@@ -87,8 +97,8 @@ class Cascade:
         return key.isNotNull() & work(F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key))
 
 
-def _build(keys: DataFrame, n: int, rate: float, folder: str, salt: int) -> Level:
-    """Set the bits of ``keys`` (columns a, b); one file for each run of SEGMENT bits."""
+def bloom(keys: DataFrame, n: int, rate: float, folder: str, salt: int = 0) -> Level:
+    """A filter of the ``n`` keys in columns a and b (longs); one file for each run of SEGMENT bits."""
     hashes = max(1, round(math.log2(1 / rate)))
     bits = max(64, math.ceil(n * hashes / math.log(2)))
     segment = SEGMENT
@@ -98,31 +108,22 @@ def _build(keys: DataFrame, n: int, rate: float, folder: str, salt: int) -> Leve
         x, y = (s.to_numpy().astype(np.int64).view(np.uint64) for s in (a, b))
         return pd.Series(list(np.stack(positions(x, y, bits, hashes, salt), 1).astype(np.int64)))
 
-    def width(s: int) -> int:
-        return -(-min(segment, bits - s * segment) // 8)
-
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf["s"].iloc[0])
-        raw = np.zeros(width(s), dtype=np.uint8)
-        p = pdf["p"].to_numpy() % segment
+        raw = np.zeros(-(-min(segment, bits - s * segment) // 8), dtype=np.uint8)
+        p = pdf["p"].to_numpy()
+        p = p[p >= 0] % segment
         np.bitwise_or.at(raw, p >> 3, (1 << (p & 7)).astype(np.uint8))
         put_blob(f"{folder}/{s}", raw.tobytes())
         return pd.DataFrame({"s": [s]})
 
-    for s in range(-(-bits // segment)):  # segments without bits are read too
-        put_blob(f"{folder}/{s}", bytes(width(s)))
-    keys.select(F.explode(at("a", "b")).alias("p")).withColumn("s", F.floor(F.col("p") / segment)).groupBy("s").applyInPandas(write, "s long").collect()
+    set_ = keys.select(F.explode(at("a", "b")).alias("p")).withColumn("s", F.floor(F.col("p") / segment))
+    # segments without bits are read too
+    every = keys.sparkSession.range(-(-bits // segment)).select(F.lit(-1).cast("long").alias("p"), F.col("id").alias("s"))
+    set_.unionByName(every).groupBy("s").applyInPandas(write, "s long").agg(F.count("*")).collect()
     return Level(folder, bits, hashes, salt)
 
 
-def _hit(level: Level) -> Column:
-    @F.pandas_udf("boolean")
-    def work(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(level.test(*(s.to_numpy().astype(np.int64).view(np.uint64) for s in (a, b))))
-
-    return work("a", "b")
-
-
 def build(listed: DataFrame, universe: DataFrame, first_rate: float = FIRST_RATE, next_rate: float = NEXT_RATE) -> Cascade:
     """The cascade of the keys in ``listed`` (column ``key``) over those in ``universe``.
 
@@ -137,8 +138,8 @@ def build(listed: DataFrame, universe: DataFrame, first_rate: float = FIRST_RATE
     inside, outside = keys.where("l"), keys.where("not l")
     levels: list[Level] = []
     while n := inside.count():
-        levels.append(_build(inside, n, next_rate if levels else first_rate, f"{folder}/level{len(levels)}", len(levels)))
-        wrong = materialize(outside.where(_hit(levels[-1])), folder, f"wrong{len(levels)}")
+        levels.append(bloom(inside, n, next_rate if levels else first_rate, f"{folder}/level{len(levels)}", len(levels)))
+        wrong = materialize(outside.where(levels[-1].column(F.col("a"), F.col("b"))), folder, f"wrong{len(levels)}")
         inside, outside = wrong, inside
     return Cascade(tuple(levels))
 
