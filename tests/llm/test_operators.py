@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tiltfield.llm import bpe, common, fingerprints, langid, lmscore, mixing, ngramjoin, queries, substrings, topk, toxicity, urlfilter
 from tiltfield.llm.eliasfano import EliasFano, pack, unpack
@@ -187,9 +188,11 @@ def test_collisions_are_generalised_jaccard():
 # --- 4: top-k ---
 
 
-def test_topk_is_brute_force(spark):
+@pytest.mark.parametrize("dim,block", [(12, 2048), (40, 16)])
+def test_topk_is_brute_force(spark, monkeypatch, dim, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 12)) * rng.lognormal(size=(300, 1))
+    x = rng.normal(size=(300, dim)) * rng.lognormal(size=(300, 1))
     x[7] = x[8]
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
@@ -199,6 +202,11 @@ def test_topk_is_brute_force(spark):
     np.fill_diagonal(s, -np.inf)
     for i in range(300):
         assert got[i] == sorted(range(300), key=lambda j: (-s[i, j], j))[:5]
+    some = rows(topk.top_k(table, k=5, queries=F.col("id") % 7 == 0), "query_id", "rank")
+    assert [(r["query_id"], r["item_id"]) for r in some] == [(i, j) for i in range(0, 300, 7) for j in got[i]]
+    bad = [None, [], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, None]]
+    mixed = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 2.0], [2.0, 1.0], *bad])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["item_id"], r["score"]) for r in rows(topk.top_k(mixed), "query_id")] == [(0, 1, 4.0), (1, 0, 4.0)]
     with pytest.raises(ValueError):
         topk.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import bpe, fingerprints, langid, lmscore, mixing, ngramjoin, substrings, topk, toxicity, urlfilter
 
 
@@ -22,7 +24,8 @@ def op3_fingerprints(spark, sf_dir):
 
 
 def op4_topk(spark, sf_dir):
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by topk.EVERY, items are all rows."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), queries=F.col("id") % topk.EVERY == 0)
 
 
 def op5_bpe(spark, sf_dir):
