@@ -291,6 +291,33 @@ def test_cut():
     assert substrings.cut("a b c d e", [(1, 3)]) == "a d e" and substrings.cut("a b", [(0, 2)]) == "" and substrings.cut("a  b\nc", [(2, 3)]) == "a  b\n"
 
 
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_repeats_are_brute_force(spark, hot):
+    rng = np.random.default_rng(21)
+    vocabulary, made = [f"w{i}" for i in range(3000)], []
+    passages = [list(rng.choice(vocabulary, int(rng.integers(6, 20)))) for _ in range(5)]
+    for i in range(80):
+        parts = [list(rng.choice(vocabulary, int(rng.integers(0, 30)))) for _ in range(3)]
+        made.append((None if i % 9 == 0 else int(rng.integers(0, 60)), " ".join(parts[0] + passages[i % 5] * (1 + i % 2) + parts[1] + passages[i % 3] + parts[2])))
+    made += made[:5]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    seen = defaultdict(list)
+    for r in {tuple(r) for r in df.select("doc_id", common.row_key("doc_id", "text"), "text").collect()}:
+        k = r[2].split()
+        for p in range(len(k) - 7):
+            seen[tuple(k[p : p + 8])].append((r[0] is not None, r[0] or 0, r[1], p))
+    marked, want = defaultdict(list), Counter()
+    for found in seen.values():
+        for n, (known, i, key, p) in enumerate(sorted(found)) if len(found) > 1 else ():
+            marked[i if known else None, key, n > 0].append(p)
+    for (i, _, removed), places in marked.items():
+        places.sort()
+        cut = [0, *(n for n in range(1, len(places)) if places[n] > places[n - 1] + 8), len(places)]
+        want.update((i, places[a], places[b - 1] + 8, removed) for a, b in zip(cut, cut[1:]))
+    got = Counter((r["doc_id"], r["start"], r["stop"], r["removed"]) for r in rows(substrings.intervals(df, 8, 4, hot)))
+    assert got == want and len(want) > 100
+
+
 def test_repeats_are_removed_once(spark):
     rng = np.random.default_rng(9)
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
@@ -379,7 +406,8 @@ def test_join_is_brute_force(spark, monkeypatch, seed, hot, leaf):
     assert joined(spark, made, hot=hot) == brute_groups(made)
 
 
-def test_large_blocks_and_rtree():
+def test_large_blocks_and_rtree(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "GROUPS", 32)
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 2**62, 40).astype(np.uint64) for _ in range(3)]
     sets = [np.unique(np.where(rng.random(40) < rng.uniform(0, 0.3), rng.integers(0, 2**62, 40).astype(np.uint64), b)) for b in base for _ in range(70)]

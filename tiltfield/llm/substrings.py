@@ -5,7 +5,11 @@ the first (by id, then text) is removed, and touching windows merge into maximal
 intervals. Two passes keep the shuffle small without losing a window: windows that are
 equal have the same least hash of an inner run of GRAM tokens, so a window whose least run
 occurs once in the corpus occurs once itself and its hash need not be sent. First the
-least runs are counted, then the hashes of all windows whose least run is repeated.
+least runs are counted, then the hashes of all windows whose least run is repeated. Windows
+are told apart by 96 bits. Those whose least run is in more than HOT documents are
+compared within SALTS groups first, so that no task sorts all occurrences of one passage.
+
+A row is named by 64 bits of its content and its id.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from .common import HashCache, materialize, mix, row_key, shared_dir, slices
 
 #: Tokens of a window; tokens of the inner run that stands for it in the first pass.
 WINDOW, GRAM = 50, 25
+#: Documents with one least run from which its windows are salted; salts.
+HOT, SALTS = 50_000, 256
 _BASE = 0x9E3779B97F4A7C15
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 
@@ -53,6 +60,11 @@ def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
+def _other(tokens: np.ndarray) -> np.ndarray:
+    """Token hashes that have nothing to do with the given ones, for a second window hash."""
+    return mix(tokens ^ np.uint64(0xA24BAED4963EE407))
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, by two scans over blocks of that width."""
     n = len(values)
@@ -77,12 +89,12 @@ class _Tokens:
 
 
 def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``key, g, n``: the distinct least runs of each document; n is 2 if the document repeats the run."""
+    """``key, doc_id, g, n``: the distinct least runs of each document; n is 2 if the document repeats the run."""
 
     def work(batches):
         tokens = _Tokens()
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
                 runs, counts = [], []
                 for t in texts[a:b]:
@@ -91,68 +103,87 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     every.sort()
                     runs.append(low)
                     counts.append(np.minimum(2, np.searchsorted(every, low, "right") - np.searchsorted(every, low)))
+                index = pa.array(np.repeat(np.arange(a, b), [len(r) for r in runs]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(keys[a:b], [len(r) for r in runs])), pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8))],
-                    names=["key", "g", "n"],
+                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8))],
+                    names=["key", "doc_id", "g", "n"],
                 )
 
-    return docs.mapInArrow(work, "key long, g long, n byte")
+    return docs.mapInArrow(work, f"key long, doc_id {_kind(docs)}, g long, n byte")
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def _second_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``key, doc_id, pos, h``: every window whose least run is among the row's ``runs``."""
+    """``key, doc_id, pos, h, x, salt``: every window whose least run is among the row's ``runs``.
+
+    ``h`` and ``x`` are its hashes, ``salt`` is -1 unless the run is among those in ``hot``.
+    """
 
     def work(batches):
         tokens = _Tokens()
         for batch in batches:
-            keys, texts, runs = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+            keys, texts, runs, hot = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
             for a, b in slices(texts, 1 << 20):
                 out = []
                 for i in range(a, b):
                     ids = tokens(texts[i])
                     low = least(rolling(ids, gram), window - gram + 1)
-                    known = np.sort(runs[i].values.to_numpy().view(np.uint64))
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
-                    out.append((at, rolling(ids, window)[at]))
-                index = np.repeat(np.arange(a, b), [len(x) for x, _ in out])
+                    at = np.flatnonzero(_among(low, runs[i]))
+                    salt = np.where(_among(low[at], hot[i]), keys[i] % SALTS, -1)
+                    out.append((at, rolling(ids, window)[at], rolling(_other(ids), window)[at] >> np.uint64(32), salt))
+                index = pa.array(np.repeat(np.arange(a, b), [len(x[0]) for x in out]))
+                at, h, x, salt = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[index]), batch.column(1).take(pa.array(index)), pa.array(np.concatenate([x for x, _ in out]).astype(np.int32)), pa.array(np.concatenate([x for _, x in out]).view(np.int64))],
-                    names=["key", "doc_id", "pos", "h"],
+                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(x.astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int16))],
+                    names=["key", "doc_id", "pos", "h", "x", "salt"],
                 )
 
-    return docs.mapInArrow(work, "key long, doc_id long, pos int, h long")
+    return docs.mapInArrow(work, f"key long, doc_id {_kind(docs)}, pos int, h long, x int, salt short")
+
+
+def _among(values: np.ndarray, known: pa.ListScalar) -> np.ndarray:
+    known = np.sort(known.values.to_numpy().view(np.uint64))
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _merge(marked: DataFrame, window: int) -> DataFrame:
-    """Rows ``key, pos, removed``, sorted by key, removed and pos within partitions -> ``key, start, stop, removed``."""
+    """Rows ``key, doc_id, pos, removed``, sorted in that order but for pos last -> ``key, doc_id, start, stop, removed``."""
 
     def work(batches):
-        held = None  # the interval that the next batch may go on with: key, removed, start, stop
+        held = None  # the interval that the next batch may go on with: its row, start, stop
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, pos, flag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+            batch = pa.Table.from_batches([batch] if held is None else [held[0], batch]).combine_chunks().to_batches()[0]
+            key, pos, flag = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy()
             if held is not None:
-                key, flag, pos = np.append(held[0], key), np.append(held[1], flag), np.append(held[3] - window, pos)
+                pos[0] = held[2] - window
+            name = pc.rank(batch.column(1), tiebreaker="dense").to_numpy() if len(key) else key
             new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (flag[1:] != flag[:-1]) | (pos[1:] > pos[:-1] + window)
+            new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (flag[1:] != flag[:-1]) | (pos[1:] > pos[:-1] + window)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(key)) - 1
             start, stop = pos[first].copy(), pos[last] + window
             if held is not None:
-                start[0] = held[2]
-            held = (key[first[-1]], flag[first[-1]], start[-1], stop[-1])
+                start[0] = held[1]
+            held = (batch.slice(int(first[-1]), 1), start[-1], stop[-1])
             if len(first) > 1:
-                yield _intervals(key[first[:-1]], start[:-1], stop[:-1], flag[first[:-1]])
+                yield _intervals(batch.take(pa.array(first[:-1])), start[:-1], stop[:-1])
         if held is not None:
-            yield _intervals(*(np.array([x]) for x in (held[0], held[2], held[3], held[1])))
+            yield _intervals(held[0], np.array([held[1]]), np.array([held[2]]))
 
-    return marked.mapInArrow(work, "key long, start int, stop int, removed boolean")
+    return marked.mapInArrow(work, f"key long, doc_id {_kind(marked)}, start int, stop int, removed boolean")
 
 
-def _intervals(key, start, stop, flag) -> pa.RecordBatch:
+def _intervals(rows: pa.RecordBatch, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(flag.astype(bool))], names=["key", "start", "stop", "removed"]
+        [rows.column(0), rows.column(1), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pc.cast(rows.column(3), pa.bool_())],
+        names=["key", "doc_id", "start", "stop", "removed"],
     )
 
 
@@ -160,23 +191,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
 
 
-def intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``key, start, stop, removed``: maximal runs of repeated windows, of token numbers."""
-    gram = min(gram, window)
+def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` with ``right``'s other columns, on key and id; null ids are equal."""
+    named = right.withColumnsRenamed({"key": "_key", "doc_id": "_doc_id"})
+    on = (left["key"] == named["_key"]) & left["doc_id"].eqNullSafe(named["_doc_id"])
+    return left.join(named, on, how).drop("_key", "_doc_id")
+
+
+def intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``key, doc_id, start, stop, removed``: maximal runs of repeated windows, of token numbers."""
+    gram, folder = min(gram, window), shared_dir(docs.sparkSession)
     texts = _keyed(docs)
-    runs = materialize(_first_pass(texts.select("key", "text"), window, gram), shared_dir(docs.sparkSession), "runs")
-    again = runs.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
-    wanted = runs.select("key", "g").join(again, "g").groupBy("key").agg(F.collect_set("g").alias("runs"))
-    # one row for each key: a row that is repeated in full is one document
-    held = texts.join(wanted, "key").dropDuplicates(["key"]).select("key", "doc_id", "text", "runs")
+    runs = materialize(_first_pass(texts, window, gram), folder, "runs")
+    again = materialize(runs.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g", (F.col("n") > hot).alias("hot")), folder, "again")
+    wanted = runs.select("key", "doc_id", "g").join(again, "g").groupBy("key", "doc_id").agg(F.collect_set("g").alias("runs"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
+    # one row for each name: a row that is repeated in full is one document
+    held = _same(texts, wanted).dropDuplicates(["key", "doc_id"]).select("key", "doc_id", "text", "runs", "hot")
     windows = _second_pass(held, window, gram)
-    same = Window.partitionBy("h")
-    marked = (
-        windows.withColumn("r", F.row_number().over(same.orderBy("doc_id", "key", "pos")))
-        .withColumn("two", F.lead("r").over(same.orderBy("doc_id", "key", "pos")).isNotNull() | (F.col("r") > 1))
-        .where("two").select("key", "pos", (F.col("r") > 1).cast("byte").alias("removed"))
-    )
-    return _merge(marked.repartition("key").sortWithinPartitions("key", "removed", "pos"), window)
+
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        same = Window.partitionBy("h", "x", *by).orderBy("doc_id", "key", "pos")
+        more = F.lead("pos").over(same).isNotNull()
+        return rows.withColumn("r", F.row_number().over(same)).withColumn("two", more | (F.col("r") > 1))
+
+    first = ranked(windows, "salt")
+    marked = first.where(F.when(F.col("salt") < 0, F.col("two")).otherwise(F.col("r") > 1)).select("key", "doc_id", "pos", (F.col("r") > 1).cast("byte").alias("removed"))
+    if again.where("hot").limit(1).count():
+        # of a hot passage, the first occurrences of the salts are compared once more
+        lead = first.where("salt >= 0 and r = 1").select("key", "doc_id", "pos", "h", "x", F.col("two").alias("had"))
+        lead = ranked(lead).where("two or had").select("key", "doc_id", "pos", (F.col("r") > 1).cast("byte").alias("removed"))
+        marked = marked.unionByName(lead)
+    return _merge(marked.repartition("key").sortWithinPartitions("key", "doc_id", "removed", "pos"), window)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -191,8 +236,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     table gives an empty result.
     """
     found = intervals(docs, window, gram)
-    names = _keyed(docs).select("key", "doc_id").dropDuplicates(["key"])
-    return found.join(names, "key").select("doc_id", F.col("start").alias("start_token"), F.col("stop").alias("end_token"), (F.col("stop") - F.col("start")).alias("n_tokens"), "removed")
+    return found.select("doc_id", F.col("start").alias("start_token"), F.col("stop").alias("end_token"), (F.col("stop") - F.col("start")).alias("n_tokens"), "removed")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -214,13 +258,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     ``n_chars``, if there, is counted again where the text changed. No row is dropped:
     a text that was all repeats becomes what is left of it, maybe empty. All columns stay.
     """
-    spans = intervals(docs, window, gram).where("removed").groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = intervals(docs, window, gram).where("removed").groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
         return pd.Series([cut(t, list(zip(a, b))) if a is not None and len(a) else t for t, a, b in zip(text, starts, stops)], index=text.index)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key")).join(spans, "key", "left")
+    rows = _same(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key"), "doc_id"), spans, "left")
     text = F.when(F.col("spans").isNotNull(), F.col("new")).otherwise(F.col("row.text"))
     rows = rows.withColumn("new", without(F.when(F.col("spans").isNotNull(), F.col("row.text")), "spans.start", "spans.stop"))
     out = []
