@@ -481,6 +481,28 @@ def test_mix_meets_the_quotas(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))  # the draw doesn't depend on partitions
 
 
+@pytest.mark.parametrize("cell,weights", [(65536, None), (50, {"a": 1.0, None: 0.5, "b": 2.0})])
+def test_draw_is_brute_force(spark, monkeypatch, cell, weights):
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell)
+    rng = np.random.default_rng(3)
+    made = [(i, f"t{i}", ["a", "b", "c", None][int(rng.integers(0, 4)) if i % 3 else 0]) for i in range(1500)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(5)
+    hashes = {r[0]: (r[1], r[2]) for r in df.select("doc_id", mixing._order(mixing.SEED), F.xxhash64(F.lit(mixing.SEED + 1), mixing._order(mixing.SEED))).collect()}
+    plan = mixing.make_plan(dict(Counter(s for _, _, s in made)), weights, 4, 64)
+    want = {}
+    for k, s in enumerate(plan.sources):
+        line = sorted((hashes[i][0], i) for i, _, x in made if x == s)
+        for shard, blocks in enumerate(plan.shards[:, k].tolist()):
+            want |= {i: shard for _, i in line[: 4 * blocks]}
+            line = line[4 * blocks :]
+    got = rows(mixing.mix_rows(df, weights, block_rows=4, shard_rows=64))
+    assert {r["doc_id"]: r["shard"] for r in got} == want and len(got) == len(want)
+    inside = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["shard"], r["position"])):
+        inside[r["shard"]].append((hashes[r["doc_id"]][1], r["doc_id"]))
+    assert len(inside) > 3 and all(v == sorted(v) for v in inside.values())
+
+
 def test_a_tiny_source_thins_no_other(spark):
     plan = mixing.make_plan({"hot": 50_000, **{f"s{i}": 1000 for i in range(19)}, None: 30})
     assert all(16 * q >= n for q, n in zip(plan.quotas, [{"hot": 50_000, None: 30}.get(s, 1000) for s in plan.sources]))

@@ -5,7 +5,12 @@ block quotas meet the target weights. A binary tree over the output shards split
 quota vector, at each node by one multivariate-hypergeometric draw, until each leaf has
 its blocks of each source; leaves take successive runs of the permuted blocks, so no
 block is drawn twice. Rows find their shard by comparing their hash with the runs'
-bounds, so the texts are shuffled once, straight to their shard, and ordered there.
+bounds, so the texts are shuffled once, straight to their shard, and ordered there. The
+bounds lie in the shared folder, one file a source, which tasks map.
+
+The driver holds the tree's leaves (8 bytes a shard and source) and the counts of cells, into
+which a source's order is cut (about CELL_ROWS rows each); both grow with rows / 16,384,
+and with the number of sources, which is taken to be small (thousands).
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import get_blob, put_blob, shared_dir
+
 #: Rows of a block; rows that a shard aims at.
 BLOCK_ROWS, SHARD_ROWS = 16, 16384
-#: Buckets (a power of two) that a source's order is counted in.
-BUCKETS = 1024
-#: Most run bounds that are broadcast (12 bytes each); beyond it shards grow instead.
-MOST_BOUNDS = 4_000_000
+#: Rows that a cell of a source's order aims at.
+CELL_ROWS = 65536
+#: Blocks grow beyond so many, which the generator of hypergeometric numbers can't take.
+MOST_BLOCKS = 900_000_000
 SEED = 29
 
 
@@ -84,14 +91,22 @@ def make_plan(counts: dict, weights: dict | None = None, block_rows: int = BLOCK
     """
     names = tuple(sorted(counts, key=lambda s: (s is None, s or "")))
     n = np.array([counts[s] for s in names], dtype=np.int64)
+    block_rows = wide(n, block_rows)
     if weights is None or not len(n):
         q = -(-n // block_rows)
     else:
         q = quotas(n, np.array([weights.get(s, 0.0) for s in names], dtype=np.float64), block_rows)
-    shards = min(max(1, -(-int(q.sum()) * block_rows // shard_rows)), max(1, MOST_BOUNDS // len(n))) if len(n) else 0
+    shards = max(1, -(-int(q.sum()) * block_rows // shard_rows)) if len(n) else 0
     return Plan(names, q, split(q, shards, seed) if shards else np.zeros((0, len(n)), np.int64))
 
 
+def wide(counts: np.ndarray, block_rows: int) -> int:
+    """Rows of a block: as many as wanted, doubled while there would be more than MOST_BLOCKS."""
+    while (-(-counts // block_rows)).sum() > MOST_BLOCKS:
+        block_rows *= 2
+    return block_rows
+
+
 def assign(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """``row`` (the whole input row as a struct), ``shard`` and ``pos_key`` of each drawn row.
 
@@ -100,57 +115,70 @@ def assign(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK
     inside ``row``. Without rows or positive weights the result is empty.
     """
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("s"), _order(seed).alias("h"))
-    keys = base.select("s", "h", F.shiftright("h", 64 - BUCKETS.bit_length() + 1).alias("b"))
-    cells = keys.groupBy("s", "b").agg(F.count("*").alias("n")).collect()
-    counts: dict = {}
-    for c in cells:
-        counts[c.s] = counts.get(c.s, 0) + c.n
+    folder = shared_dir(docs.sparkSession)
+    counts = {c.s: c.n for c in base.groupBy("s").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(counts, weights, block_rows, shard_rows, seed)
-    bounds = _bounds(keys, cells, counts, plan, block_rows)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bounds)
+    places = _bounds(base.select("s", "h"), counts, plan, wide(np.array(list(counts.values()), np.int64), block_rows), folder)
+    shared = docs.sparkSession.sparkContext.broadcast(places)
 
     @F.pandas_udf("int")
     def shard_of(s: pd.Series, h: pd.Series) -> pd.Series:
-        out = pd.Series(-1, index=s.index, dtype="int32")
         code, names = pd.factorize(s)  # null is -1
-        hashes, result = h.to_numpy(), out.to_numpy(copy=True)
+        hashes, result = h.to_numpy(), np.full(len(s), -1, np.int32)
         for k in np.unique(code):
-            at = np.flatnonzero(code == k)
-            edges, shards = shared.value[None if k < 0 else names[k]]
-            found = np.searchsorted(edges, hashes[at], side="left")  # edges are last hashes of runs
-            result[at] = np.append(shards, -1).astype(np.int32)[found]
-        out = pd.Series(result, index=s.index)
-        return out
+            at, name = np.flatnonzero(code == k), None if k < 0 else names[k]
+            if (i := shared.value.get(name)) is None:
+                continue
+            raw = get_blob(f"{folder}/bounds/{i}")
+            runs = len(raw) // 12
+            edges, shards = raw[: 8 * runs].view(np.int64), np.append(raw[8 * runs :].view(np.int32), -1)
+            result[at] = shards[np.searchsorted(edges, hashes[at], side="left")]  # edges are last hashes of runs
+        return pd.Series(result, index=s.index)
 
     return base.withColumn("shard", shard_of("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
 
 
-def _bounds(keys: DataFrame, cells: list, counts: dict, plan: Plan, block_rows: int) -> dict:
-    """source -> (last hash of each run in order, its shard). As large as shards x sources, not the rows."""
-    wanted, out = [], {}
-    for i, s in enumerate(plan.sources):
-        runs = [(k, int(n)) for k, n in enumerate(plan.shards[:, i]) if n]
-        ends = np.minimum(np.cumsum([n for _, n in runs], dtype=np.int64) * block_rows, counts[s])
-        out[s] = ([None] * len(runs), np.array([k for k, _ in runs], dtype=np.int32))
-        wanted.append(ends)
-    offset, need = {}, []
-    at = {s: i for i, s in enumerate(plan.sources)}
-    for s in plan.sources:
-        below = 0
-        for c in sorted((c for c in cells if c.s == s), key=lambda c: c.b):
-            offset[s, c.b] = below
-            ends = wanted[at[s]]
-            need += [(s, c.b, int(e - below), int(j)) for j, e in enumerate(ends) if below < e <= below + c.n]
-            below += c.n
-    if need:
-        spark = keys.sparkSession
-        ask = spark.createDataFrame(need, f"s {keys.schema['s'].dataType.simpleString()}, b long, r long, j long")
-        ranked = keys.withColumn("b", F.col("b").cast("long")).withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("h")).cast("long"))
-        found = ranked.alias("k").join(F.broadcast(ask).alias("a"), F.expr("k.s <=> a.s and k.b = a.b and k.r = a.r")).select("a.s", "a.j", "k.h").collect()
-        for f in found:
-            out[f.s][0][f.j] = f.h
-    return {s: (np.array(e, dtype=np.int64), k) for s, (e, k) in out.items()}
+def _bounds(keys: DataFrame, counts: dict, plan: Plan, block_rows: int, folder: str) -> dict:
+    """source -> number of its file: the last hash of each run in order, and the runs' shards.
+
+    A run's last rank is looked up in its cell: cells are counted, and ranked one by one.
+    """
+    spark = keys.sparkSession
+    order = {s: i for i, s in enumerate(plan.sources)}
+    bits = {s: max(0, int(counts[s] // CELL_ROWS).bit_length()) for s in order}
+    kind = keys.schema["s"].dataType.simpleString()
+    known = spark.createDataFrame([(s, i, 64 - bits[s]) for s, i in order.items()], f"s {kind}, i int, shift int") if order else None
+    if known is None:
+        return {}
+    # as many rows as sources; a shift by 64 would be none
+    cell = F.when(F.col("shift") < 64, F.expr("shiftright(h, shift)")).otherwise(F.lit(0).cast("long"))
+    cells = keys.join(F.broadcast(known), keys["s"].eqNullSafe(known["s"])).select("i", cell.alias("b"), "h")
+    sizes = cells.groupBy("i", "b").agg(F.count("*").alias("n")).toArrow().sort_by([("i", "ascending"), ("b", "ascending")])
+    i, b, n = (sizes.column(c).to_numpy() for c in ("i", "b", "n"))
+    asked, files = [], {}
+    for k, s in enumerate(plan.sources):
+        own = slice(*np.searchsorted(i, [k, k + 1]))
+        upto = np.cumsum(n[own])
+        shards = np.flatnonzero(plan.shards[:, k])
+        if not len(shards) or not len(upto):
+            continue
+        ends = np.minimum(np.cumsum(plan.shards[shards, k]) * block_rows, counts[s])
+        at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+        asked.append(pd.DataFrame({"i": np.int32(k), "b": b[own][at], "r": ends - (upto - n[own])[at], "shard": shards.astype(np.int32)}))
+        files[s] = k
+    if not asked:
+        return {}
+    ask = spark.createDataFrame(pd.concat(asked), "i int, b long, r long, shard int")
+    ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("i", "b").orderBy("h")).cast("long"))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["i"].iloc[0])
+        pdf = pdf.sort_values("shard")
+        put_blob(f"{folder}/bounds/{k}", pdf["h"].to_numpy(np.int64).tobytes() + pdf["shard"].to_numpy(np.int32).tobytes())
+        return pd.DataFrame({"i": [k]})
+
+    ranked.join(ask, ["i", "b", "r"]).select("i", "shard", "h").groupBy("i").applyInPandas(write, "i int").collect()
+    return files
 
 
 def mix_rows(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
