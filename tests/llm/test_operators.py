@@ -172,6 +172,12 @@ def test_mostly_foreign_script_is_turned_away(spark):
     assert [r["accepted"] for r in got] == [False, False, True]
 
 
+def test_each_language_has_its_own_sample(spark):
+    made = [(i, "the cat and the dog sat here", "en") for i in range(40)] + [(99, "le chat et la souris", "fr")]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"), train_rows=2)
+    assert model.langs == ("en", "fr") and "souris" in model.words and "dog" in model.words
+
+
 # --- 3: fingerprints ---
 
 
@@ -181,6 +187,22 @@ def test_collisions_are_generalised_jaccard():
     rate = (table.signature(a) == table.signature(b)).mean()
     keys = a.keys() | b.keys()
     assert abs(rate - sum(min(a[k], b[k]) for k in keys) / sum(max(a[k], b[k]) for k in keys)) < 0.04
+    every, found = fingerprints._Draws(64), {}
+    h = {w: fingerprints.HashCache()[w] for w in a}
+    for j in range(64):  # sample by sample, from the definition
+        value = []
+        for w, n in a.items():
+            u = lambda lane: float(fingerprints._uniform(np.array([h[w]], np.uint64), lane, 64)[0, j])  # noqa: B023, E731
+            r, c, beta = -math.log(u(1) * u(2)), -math.log(u(3) * u(4)), u(5)
+            t = math.floor(math.log(n) / r + beta)
+            value.append((math.log(c) - r * (t - beta) - r, w, t))
+        found[j] = min(value)[1:]
+    name = lambda w, t: int(common.mix(np.array([(h[w] + t * 0xD6E8FEB86659FD93) & common.MASK], np.uint64)).view(np.int64)[0])
+    assert every.signature(a).tolist() == [name(*found[j]) for j in range(64)]
+    tied = fingerprints._Draws(8)
+    tied.signature(Counter(x=1, y=1))
+    tied.ln_a[:] = 0.5  # all tie: the least name counts, in either order
+    assert (tied.signature(Counter(x=1, y=1)) == tied.signature(Counter(y=1, x=1))).all() and (tied.signature(Counter(x=1, y=1)) == tied.name[:2].min(0)).all()
     small = fingerprints._Draws(64, limit=3)  # parts and an emptied table change nothing
     assert (small.signature(a) == fingerprints._Draws(64).signature(a)).all()
 
@@ -253,6 +275,7 @@ def test_toxicity_held_out(spark):
     machine = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
     bad = [u for u in ("idiot", "trash", "pathetic", "stupid", "loser") if machine.score([u])[0] >= 0]
     assert len(bad) >= 4
+    assert machine.score(["i**d**i**o**t"])[0] >= 0 and machine.score(["id--------iot"])[0] > machine.bias
     for u in bad:  # an inserted character or a gap everywhere is tolerated
         assert machine.score([u[:2] + "*" + u[2:]])[0] >= 0 and machine.score(["*".join(u)])[0] >= 0
     held = labels.where("doc_id % 2 = 1").selectExpr("doc_id", "toxic AS label")
@@ -403,7 +426,15 @@ def test_join_is_brute_force(spark, monkeypatch, seed, hot, leaf):
             t = [w if rng.random() > rng.choice([0, 0.05, 0.3]) else f"v{rng.integers(60)}" for w in base]
             made.append((len(made), " ".join(t[int(rng.integers(0, 1 + len(t) // 4)) :])))
     made += [(len(made), ""), (len(made) + 1, "?!")]
-    assert joined(spark, made, hot=hot) == brute_groups(made)
+    want = brute_groups(made)
+    assert joined(spark, made, hot=hot) == want
+    pairs = rows(ngramjoin.similar_pairs(spark.createDataFrame(made, "doc_id long, text string"), hot=hot))
+    degree = Counter(r[k] for r in pairs for k in ("doc_a", "doc_b"))
+    first = {}  # the least id of those with one set stands for it
+    for i, t in made:
+        w = common.words_of(t)
+        first.setdefault(frozenset(zip(w, w[1:])) if len(w) > 1 else tuple(w), i)
+    assert degree == Counter({i: want[i][2] for i in first.values() if want[i][2]}) and all(0.5 <= r["jaccard"] < 1 for r in pairs)
 
 
 def test_large_blocks_and_rtree(monkeypatch):
@@ -421,9 +452,16 @@ def test_large_blocks_and_rtree(monkeypatch):
     jac = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     want = {(j, i) for i in range(len(sets)) for j in range(i) if jac(sets[i], sets[j]) >= 0.5}
     assert want <= got and len(got) < len(sets) ** 2 / 3
-    bits = ngramjoin._Bits(np.array([b"%016d" % i for i in range(len(sets))]), sets)
+    names = np.arange(len(sets)).repeat(2).astype(np.int64).view("V16")
+    bits = ngramjoin._Bits(names, sets)
     i, j = np.array(sorted(want)).T
     assert (bits.overlap(i, j) == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]).all()
+    half = np.stack([np.arange(len(sets)) // 2, np.arange(len(sets))], 1).ravel().astype(np.int64).view("V16")
+    twins = ngramjoin._Bits(half, sets)  # two sets to each half of a name
+    x, y = np.triu_indices(len(sets) // 2)
+    i, j, _ = twins.links(x, y, 0.5)
+    found = list(zip(twins.order[i].tolist(), twins.order[j].tolist()))
+    assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == {tuple(sorted(p)) for p in want}
 
 
 def test_one_of_each_group_stays(spark):

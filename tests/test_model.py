@@ -127,7 +127,7 @@ def test_snippets_cross_sentences(spark):
     raw = spark.createDataFrame([(0, "Rain. Hot sun. Cold wind blew. Dry."), (1, "Sun hot dry calm storm wind. Rain."), (2, None)], "doc_id long, text string")
     pre = preprocess_texts(raw)
     kv, _ = vectors(spark)
-    got = rows(passages.snippets_along_beta(pre, kv, [1.0, 0, 0, 0, 0], ["sun"]).where("side_label = 'pos'"), "doc_id")
+    got = rows(passages.snippets_along_beta(pre, kv, [1.0, 0, 0, 0, 0], ["sun"]).where("side_label = 'beta_pos'"), "doc_id")
     # the window of the first document reaches back and ahead: back wins
     assert got[0]["snippet_anchor"] == "Rain. Hot sun." and (got[0]["start_sent_idx"], got[0]["end_sent_idx"]) == (0, 1)
     assert got[1]["snippet_anchor"] == "Sun hot dry calm storm wind." and got[1]["start_token_idx"] == 0
@@ -140,3 +140,44 @@ def test_cluster_snippets_need_clusters(spark):
     model = ConceptGradient(kv, docs(spark, ["sun hot", "sun cold", "rain dry", "rain storm"], [1.0, 1.2, 1.1, 0.8]), {"sun", "rain"}, n_pca=2)
     with pytest.raises(RuntimeError):
         model.cluster_snippets(None)
+
+
+def test_snippets_come_best_first(spark):
+    texts = ["sun hot.", "sun cold storm.", "rain dry wind sun.", "calm sun storm.", "hot dry sun. cold sun."]
+    raw = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kv, _ = vectors(spark)
+    found = [r.asDict() for r in passages.snippets_along_beta(preprocess_texts(raw), kv, [1.0, -0.5, 0.2, 0, 0.3], ["sun"]).collect()]
+    assert [r["side_label"] for r in found] == ["beta_pos"] * 6 + ["beta_neg"] * 6
+    for side in (found[:6], found[6:]):
+        assert [r["cosine"] for r in side] == sorted((r["cosine"] for r in side), reverse=True)
+    every = [r.asDict() for r in passages.snippets_along_beta(preprocess_texts(raw), kv, [1.0, -0.5, 0.2, 0, 0.3], ["sun"], top_per_side=None).collect()]
+    name = lambda found: [(r["side_label"], r["doc_id"], r["start_token_idx"], round(r["cosine"], 9)) for r in found]
+    assert name(every) == name(found)
+    few = [r.asDict() for r in passages.snippets_along_beta(preprocess_texts(raw), kv, [1.0, -0.5, 0.2, 0, 0.3], ["sun"], top_per_side=2).collect()]
+    assert name(few) == name(found[:2] + found[6:8])
+
+
+def test_model_wrappers(spark):
+    kv, _ = vectors(spark)
+    texts = ["sun hot", "sun cold", "rain dry", "rain storm", "sun calm wind", "rain hot wind"]
+    y = [1.0, 1.2, 1.1, 0.8, 0.3, 2.0]
+    model = ConceptGradient(kv, docs(spark, texts, y), {"sun", "rain"}, n_pca=2)
+    pre = preprocess_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    along = [r.asDict() for r in model.beta_snippets(pre, top_per_side=3).collect()]
+    assert [r["side_label"] for r in along] == ["beta_pos"] * 3 + ["beta_neg"] * 3
+    clusters, _ = model.cluster_neighbors(topn=5, k=2, min_cluster_size=1)
+    assert {r["side"] for r in clusters.collect()} == {"pos", "neg"}
+    by = model.cluster_snippets(pre)
+    assert set(by) == {"pos", "neg"}
+    for side, frame in by.items():
+        got = [(r["centroid_label"], r["cosine"]) for r in frame.collect()]
+        assert got and got == sorted(got, key=lambda r: (r[0], -r[1])) and all(r[0].startswith(f"{side}_cluster_") for r in got)
+    assert model.scores().count() == 6 and model.n_dropped == 0
+
+
+def test_unit_beta_is_the_same_direction(spark):
+    kv, _ = vectors(spark)
+    d = docs(spark, ["sun hot", "sun cold", "rain dry", "rain storm", "sun calm wind", "rain hot wind"], [1.0, 1.2, 1.1, 0.8, 0.3, 2.0])
+    a, b = (ConceptGradient(kv, d, {"sun", "rain"}, n_pca=2, use_unit_beta=u) for u in (True, False))
+    assert math.isclose(np.linalg.norm(a.beta_unit), 1.0) and np.allclose(np.asarray(b.beta) / np.linalg.norm(b.beta), a.beta_unit)
+    assert b.beta_unit == b.beta and np.allclose(a.beta, b.beta)  # without it the direction keeps its length

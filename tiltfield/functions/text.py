@@ -27,15 +27,16 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_spans(text: Column, parts: Column) -> Column:
-    """Array of (start, end) character offsets of the sentences in the text."""
+    """Array of (start, end) character offsets of the sentences in the text: running sums of their lengths and the gaps'."""
     start = F.array().cast("array<struct<start:int,end:int>>")
+    gaps = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_END), F.lit(0)), F.length))
+    sizes = F.filter(F.zip_with(parts, gaps, lambda s, g: F.struct(g.alias("gap"), F.length(s).alias("n"))), lambda x: x["n"].isNotNull())
 
-    def step(done: Column, s: Column) -> Column:
-        behind = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
-        at = F.call_function("locate", s, text, behind + 1) - 1
-        return F.concat(done, F.array(F.struct(at.cast("int").alias("start"), (at + F.length(s)).cast("int").alias("end"))))
+    def step(done: Column, x: Column) -> Column:
+        at = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + x["gap"]
+        return F.concat(done, F.array(F.struct(at.alias("start"), (at + x["n"]).alias("end"))))
 
-    return F.aggregate(parts, start, step)
+    return F.aggregate(sizes, start, step)
 
 
 def kept(token: Column, stopwords: list[str]) -> Column:

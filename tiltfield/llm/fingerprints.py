@@ -2,7 +2,7 @@
 
 For a term with weight w and sample k, three draws that depend on (term, k) alone:
 r, c ~ Gamma(2, 1) and b ~ U(0, 1); t = floor(ln w / r + b), ln a = ln c - r (t - b) - r.
-The term with the least ln a is the sample, and (term, t) its name. Two documents agree
+The term with the least ln a is the sample (on a tie, the one with the least name), and (term, t) its name. Two documents agree
 on a sample with probability sum min(w) / sum max(w), their generalised Jaccard similarity.
 """
 
@@ -52,7 +52,7 @@ class _Draws:
         for i in range(0, len(items), self.limit):  # a text with more terms than the limit goes part by part
             a, n = self._part(items[i : i + self.limit])
             if best is not None:
-                keep = best <= a
+                keep = (best < a) | ((best == a) & (name <= n))
                 a, n = np.where(keep, best, a), np.where(keep, name, n)
             best, name = a, n
         return name
@@ -72,7 +72,12 @@ class _Draws:
         a = self.ln_a[rows]
         k = a.argmin(0)
         lanes = np.arange(self.samples)
-        return a[k, lanes], self.name[rows[k], lanes]
+        best, name = a[k, lanes], self.name[rows[k], lanes]
+        tie = a == best
+        if np.count_nonzero(tie) > self.samples:  # of equal values the least name counts, in whatever order terms come
+            for j in np.flatnonzero(tie.sum(0) > 1):
+                name[j] = self.name[rows[tie[:, j]], j].min()
+        return best, name
 
 
 def text_terms(text: str, cache: dict) -> Counter:
@@ -114,4 +119,5 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                     n.append(len(counts))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_terms", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_terms int, signature array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_terms int, signature array<long>")

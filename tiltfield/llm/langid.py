@@ -10,15 +10,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that the model is fitted on, by the least md5 of their id.
-TRAIN_ROWS = 4000
-#: Words and n-grams of each length that the model keeps for each language.
-KEEP_WORDS, KEEP_GRAMS, GRAMS = 20_000, 5_000, (4, 3, 2, 1)
-#: A word of the model is in at least so many places of a language's training text.
-MIN_WORD = 2
+#: Labelled rows of each language that the model is fitted on, by the least md5 of their id.
+TRAIN_ROWS = 1000
+#: Lengths of the n-grams.
+GRAMS = (4, 3, 2, 1)
 #: A document is accepted if its best language leads the next by so much a word ...
 MIN_MARGIN = 0.02
 #: ... and so large a share of its words is known by at least one letter.
@@ -48,11 +46,8 @@ class Model:
         return None
 
     def known(self, word: str) -> bool:
-        """Whether the word, or an n-gram with one of its letters, is in the model; its padding alone isn't enough."""
-        if word in self.words or any(c in self.grams[1] for c in word):
-            return True
-        padded = f" {word} "
-        return any(padded[i : i + n] in self.grams[n] for n in GRAMS if n > 1 for i in range(len(padded) - n + 1))
+        """Whether one of the word's letters is in the model; its padding alone isn't enough."""
+        return any(c in self.grams[1] for c in word)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -75,29 +70,24 @@ def _counts(sample: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([g] * len(table), pa.int32()), pa.array(list(table)), pa.array(list(table.values()), pa.int64())], names=["lang", "g", "w", "n"])
 
     parts = sample.select("lang", "text").mapInArrow(work, "lang string, g int, w string, n long")
-    return parts.groupBy("lang", "g", "w").agg(F.sum("n").alias("n")).where((F.col("g") > 0) | (F.col("n") >= MIN_WORD))
+    return parts.groupBy("lang", "g", "w").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, keep_words: int = KEEP_WORDS, keep_grams: int = KEEP_GRAMS) -> Model:
-    """Fit on at most ``train_rows`` rows with ``doc_id``, ``text`` and ``lang``, whole texts.
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Fit on at most ``train_rows`` rows of each language with ``doc_id``, ``text`` and ``lang``, whole texts.
 
-    What reaches the driver is bounded by ``keep_words`` and ``keep_grams`` a language.
-    Rows with a null or empty lang or text teach nothing; without any, no word is known.
+    All words and n-grams of these rows are in the model; nothing else bounds what reaches
+    the driver. Rows with a null or empty lang or text teach nothing; without any, no word
+    is known.
     """
-    from pyspark.sql import Window
-
     rows = labelled.where("text <> '' and lang <> ''").select("doc_id", "text", "lang")
-    name = [F.col("doc_id"), F.md5("text").alias("t"), F.col("lang")]
     # only names are sorted; the texts of the few that are chosen are joined to them
-    chosen = rows.select(F.md5(F.col("doc_id").cast("string")).alias("m"), *name).orderBy("m", "doc_id", "t", "lang").limit(train_rows).distinct()
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "t")
+    named = rows.select(F.col("doc_id"), F.md5("text").alias("t"), F.col("lang")).withColumn("r", F.row_number().over(order))
+    chosen = named.where(F.col("r") <= train_rows).drop("r").distinct()
     a, b = rows.withColumn("t", F.md5("text")).alias("a"), F.broadcast(chosen).alias("b")
     sample = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.t = b.t and a.lang = b.lang"), "left_semi")
-    rank = Window.partitionBy("lang", "g").orderBy(F.desc("n"), "w")
-    kept = (
-        _counts(sample).withColumn("r", F.row_number().over(rank))
-        .where(F.col("r") <= F.when(F.col("g") == 0, keep_words).otherwise(keep_grams))
-        .select("lang", "g", "w", "n").toArrow()
-    )
+    kept = _counts(sample).select("lang", "g", "w", "n").toArrow()
     columns = [kept.column(c).to_pylist() for c in ("lang", "g", "w", "n")]
     langs = tuple(sorted(set(columns[0])))
     at = {lang: i for i, lang in enumerate(langs)}
@@ -107,7 +97,12 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, keep_words: int = KEE
 
     def logs(table: dict[str, list[int]]) -> dict[str, tuple[float, ...]]:
         totals = [sum(v[i] for v in table.values()) + HALF * len(table) for i in range(len(langs))]
-        return {w: tuple(float(np.log((v[i] + HALF) / totals[i])) for i in range(len(langs))) for w, v in table.items()}
+        # words with the same counts share their values, which keeps the model small
+        known: dict[tuple[int, ...], tuple[float, ...]] = {}
+        for v in table.values():
+            if tuple(v) not in known:
+                known[tuple(v)] = tuple(float(np.log((x + HALF) / total)) for x, total in zip(v, totals))
+        return {w: known[tuple(v)] for w, v in table.items()}
 
     return Model(langs, logs(counts[0]), {g: logs(counts[g]) for g in GRAMS})
 
@@ -144,17 +139,16 @@ class _Scorer(dict):
         return total
 
 
-def identify(text: Column, model: Model) -> Column:
+def identify(spark: SparkSession, text: Column, model: Model) -> Column:
     """Struct ``lang, margin, n_words, accepted`` of a text column, with the rows in place.
 
     ``lang`` has the greatest mean log frequency a scored word, on a tie the first by name;
     ``margin`` is its lead over the next (0 if there is one language only). Accepted: at
     least one scored word, MIN_SCORED of all words known by at least one letter (the space
-around a word is known in every language), and a lead of MIN_MARGIN. A
-    null, empty or letterless text has lang 'und', margin 0, and isn't accepted. Texts are
+    around a word is known in every language), and a lead of MIN_MARGIN. A null, empty or letterless text has lang 'und', margin 0, and isn't accepted. Texts are
     read whole. A pandas UDF, no shuffle.
     """
-    spark_model = _broadcast(model)
+    spark_model = spark.sparkContext.broadcast(model)
 
     def work(batches):
         m = spark_model.value
@@ -168,12 +162,6 @@ around a word is known in every language), and a lead of MIN_MARGIN. A
     return F.pandas_udf(work, "lang string, margin double, n_words long, accepted boolean")(text)
 
 
-def _broadcast(model: Model):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().sparkContext.broadcast(model)
-
-
 def _verdict(total: np.ndarray | None, m: Model) -> tuple[str, float, int, bool]:
     if total is None or total[1] == 0:
         return "und", 0.0, int(total[0]) if total is not None else 0, False
@@ -192,29 +180,26 @@ def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
     columns are left as they are; an empty table gives an empty result.
     """
     model = model or fit(docs)
-    return docs.select("doc_id", identify(F.col("text"), model).alias("v")).select("doc_id", F.col("v.lang").alias("pred_lang"), "v.margin", "v.n_words", "v.accepted")
+    return docs.select("doc_id", identify(docs.sparkSession, F.col("text"), model).alias("v")).select("doc_id", F.col("v.lang").alias("pred_lang"), "v.margin", "v.n_words", "v.accepted")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with all their columns."""
     model = model or fit(docs)
-    return docs.where(identify(docs["text"], model)["accepted"])
+    return docs.where(identify(docs.sparkSession, docs["text"], model)["accepted"])
 
 
 ORACLE = f"""
 with train as (
   select doc_id, text, lang from documents where text <> '' and lang <> ''
-  order by md5(cast(doc_id as varchar)), doc_id, md5(text), lang limit {TRAIN_ROWS}),
+  qualify row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id, md5(text)) <= {TRAIN_ROWS}),
 tw as (
   select lang, w, count(*) n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) w from train) group by all),
 tg as (
   select lang, g, w, sum(n) n from (
     select lang, g, unnest(list_transform(range(1, length(p) - g + 2), lambda i: substr(p, i, g))) w, n
     from (select lang, ' ' || w || ' ' p, n from tw), (select unnest([{', '.join(map(str, GRAMS))}]) g) where length(p) >= g) group by all),
-ranked as (
-  select *, row_number() over (partition by lang, g order by n desc, encode(w)) r
-  from (select lang, 0 g, w, n from tw where n >= {MIN_WORD} union all by name select lang, g, w, n from tg)),
-kept as (select lang, g, w, n from ranked where r <= case when g = 0 then {KEEP_WORDS} else {KEEP_GRAMS} end),
+kept as (select lang, 0 g, w, n from tw union all by name select lang, g, w, n from tg),
 langs as (select distinct lang from kept),
 totals as (
   select l.lang, s.g, coalesce(sum(k.n), 0) + {HALF} * any_value(s.v) total
@@ -238,8 +223,10 @@ doc_scores as (select t.doc_id, s.lang, sum(t.n) scored, sum(t.n * s.v) / sum(t.
 best as (
   select doc_id, any_value(scored) scored, arg_max(lang, m) lang, max(m) - coalesce(list_sort(list(m), 'DESC')[2], max(m)) margin, count(*) k
   from doc_scores group by doc_id),
-sizes as (select doc_id, sum(n) n_words from tokens group by doc_id)
+letters as (select list(w) every from keys where g = 1),
+lettered as (select w, list_has_any(string_split(w, ''), every) known from types, letters),
+sizes as (select doc_id, sum(n) n_words, sum(n) filter (where known) n_known from tokens join lettered using (w) group by doc_id)
 select d.doc_id, coalesce(b.lang, 'und') pred_lang, coalesce(round(b.margin, 4), 0.0) margin,
   cast(coalesce(s.n_words, 0) as bigint) n_words,
-  coalesce((b.k = 1 or round(b.margin, 4) >= {MIN_MARGIN}) and b.scored >= {MIN_SCORED} * s.n_words, false) accepted
+  coalesce((b.k = 1 or round(b.margin, 4) >= {MIN_MARGIN}) and coalesce(s.n_known, 0) >= {MIN_SCORED} * s.n_words, false) accepted
 from documents d left join best b using (doc_id) left join sizes s using (doc_id)"""

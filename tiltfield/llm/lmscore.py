@@ -40,6 +40,8 @@ from .eliasfano import EliasFano, pack, unpack
 MIN_COUNT, DISCOUNT = 2, 0.75
 #: Tokens that a shard aims at; n-grams that a task counts at once.
 SHARD_TOKENS, BUFFER = 4_000_000, 2_000_000
+#: Shards that a task keeps open.
+MOST_OPEN = 4096
 #: ln of the least number that a byte can say; 255 steps up to 0.
 LEAST = -20.0
 _LOW = np.uint64(0xFFFFFFFF)
@@ -129,6 +131,8 @@ class Reader:
     def _open(self, level: int, shard: int):
         key = level, shard
         if key not in self.level:
+            if len(self.level) >= MOST_OPEN:  # a process may hold only so many maps
+                self.level.pop(next(iter(self.level)))
             names = {2: self.trie.shards2, 3: self.trie.shards3}[level]
             if shard not in names:
                 self.level[key] = None
@@ -414,6 +418,10 @@ def train(docs: DataFrame) -> Trie:
     _vocabulary(texts, trie)
     # texts with words, for the start mark's count
     trie.documents = max(1, texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).count())
+    # the start mark's followers are cut like those of a frequent word
+    pieces = int(trie.documents // SHARD_TOKENS)
+    cuts = {(trie.start << 32) | (k * trie.words // pieces) for k in range(pieces)} if pieces > 1 else set()
+    trie.bounds = np.array(sorted(set(trie.bounds.tolist()) | cuts), np.uint64)
     _level2(texts, trie)
     _level3(texts, trie)
     return trie
@@ -426,7 +434,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     that of a word (2 decimals). A null text gives null in all but ``doc_id``; a text
     without words 0 words, log_prob 0 and a null perplexity. Null ids, repeated rows and
     other columns are left as they are; an empty table gives an empty result. One narrow
-    pass over memory-mapped files, no shuffle.
+    pass over memory-mapped files, no shuffle. More than 2**32 - 2 different words are an error.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trie)
 
@@ -446,7 +454,8 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                     names=["doc_id", "n_words", "n_unknown", "log_prob", "perplexity"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_words long, n_unknown long, log_prob double, perplexity double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_words long, n_unknown long, log_prob double, perplexity double")
 
 
 def score_texts(texts: list, reader: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

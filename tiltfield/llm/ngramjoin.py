@@ -12,12 +12,16 @@ q - a + 1. A pair is looked at in the block of its first shared n-gram only (blo
 two rows have one of their last LAST prefix n-grams in common are known not to be that one),
 where its places in both sets bound the overlap too. The order goes by document frequency:
 a first pass counts n-grams into a table of the shared folder. Any table would do, rare
-n-grams first just keep blocks small; n-grams of a single document need no block.
+n-grams first just keep blocks small; n-grams of a single document need no block. A second
+pass sends only places and sizes and finds the blocks in which some pair's places allow
+the threshold; just their rows, with the points, are sent by the third.
 
 Each block's points are bulk-loaded into an R-tree, which is joined with itself: two
-nodes, then two points, go on only while the bounds allow the threshold. Surviving pairs
-are verified on the sets themselves. A block of more than HOT sets is cut into chunks that
-meet pairwise in blocks of their own, so that no task holds an unbounded one.
+nodes, then two points, go on only while the bounds allow the threshold. A block of more
+than HOT sets is cut into chunks that meet pairwise in blocks of their own, so that no task
+holds an unbounded one. Surviving pairs are verified on the sets themselves, gathered
+by the least class that the lesser one of a pair is paired with, so that a text travels about
+once to all that is like it; such gatherings are cut like blocks.
 """
 
 from __future__ import annotations
@@ -35,9 +39,13 @@ from .urlfilter import bloom
 #: Words of an n-gram, least Jaccard similarity of a pair.
 NGRAM, THRESHOLD = 2, 0.5
 #: Coordinates of a point; points of a leaf, children of a node; n-grams before its own that a row of a block names.
-GROUPS, LEAF, FANOUT, LAST = 32, 64, 16, 3
+GROUPS, LEAF, FANOUT, LAST = 16, 64, 16, 2
 #: Sets of a block (by the frequency table) from which it is cut; rows that a task of blocks aims at.
 HOT, PART_ROWS = 8192, 200_000
+#: Bits of an n-gram's name in the tables, which only order and leave out; those of one name share what is known.
+NAME_BITS = 40
+#: Steps to lesser neighbours that decide where a pair is verified.
+STEPS = 3
 #: N-grams that a task counts at once; characters of text whose n-grams one task merges; bits of a file of frequencies.
 BUFFER, SHARD_CHARS, FILE_BITS = 2_000_000, 32 << 20, 24
 _SEED = 41
@@ -98,35 +106,35 @@ class _Sets:
         return g, size, names, new
 
 
-# --- how many sets hold an n-gram ---
+# --- tables of n-grams ---
 
 
-class Frequencies:
-    """Slots of about a logarithm of the n-grams' frequencies, 0 for those of one set; files in the shared folder."""
+class Table:
+    """Bytes by the leading bits of an n-gram, in layers; files in the shared folder. 0 where nothing was put."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.file = folder, bits, min(bits, FILE_BITS)
+    def __init__(self, folder: str, bits: int, layers: int):
+        self.folder, self.bits, self.layers = folder, bits, layers
         self.open: dict = {}
 
     def _part(self, f: int) -> np.ndarray:
         if f not in self.open:
-            self.open[f] = get_blob(f"{self.folder}/frequency/{f}")
+            self.open[f] = get_blob(f"{self.folder}/{f}").reshape(self.layers, -1)
         return self.open[f]
 
-    def codes(self, grams: np.ndarray) -> np.ndarray:
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        """Layers x n-grams."""
         slot = (grams >> _U(64 - self.bits)).astype(np.int64)
         if self.bits <= FILE_BITS:
-            return self._part(0)[slot]
-        out, part = np.empty(len(slot), np.uint8), slot >> FILE_BITS
+            return self._part(0)[:, slot]
+        out, part = np.empty((self.layers, len(slot)), np.uint8), slot >> FILE_BITS
         for f in np.unique(part).tolist():
-            at = part == f
-            out[at] = self._part(f)[slot[at] & ((1 << FILE_BITS) - 1)]
+            at = np.flatnonzero(part == f)
+            out[:, at] = self._part(f)[:, slot[at] & ((1 << FILE_BITS) - 1)]
         return out
 
-
-def _code(count: np.ndarray) -> np.ndarray:
-    """Frequencies from 2 on to bytes, four to a doubling."""
-    return np.minimum(255, 1 + np.floor(4 * np.log2(count))).astype(np.uint8)
+    def again(self) -> Table:
+        """The same table, to open in a task."""
+        return Table(self.folder, self.bits, self.layers)
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -145,61 +153,137 @@ def _columns(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def frequencies(docs: DataFrame, n: int, folder: str) -> Frequencies:
-    """Count in how many sets each n-gram is; a class counts once a task.
+class _Ranges:
+    """How tables are built: tasks send sorted short names by range, a range is merged at once, files hold several.
 
-    Tasks send sorted 48-bit names by range; those that occur twice are kept, as the
-    greatest logarithm of a slot. Slots grow with the text, up to 2**33.
+    Slots grow with the text, up to 2**33; beyond it more n-grams share one.
     """
-    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    bits = min(33, max(10, int(chars // 16).bit_length()))
-    # ranges to merge are no coarser than the files
-    ranges = min(bits, max(int(chars // SHARD_CHARS).bit_length(), bits - FILE_BITS, 1))
-    width = bits - ranges
+
+    def __init__(self, docs: DataFrame):
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        self.bits = min(33, max(10, int(chars // 16).bit_length()))
+        # ranges are no coarser than files
+        self.log = min(self.bits, max(int(chars // SHARD_CHARS).bit_length(), self.bits - FILE_BITS, 1))
+
+    def emit(self, names: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """``shard, blob`` of rows with sorted names."""
+        shard = (names >> _U(NAME_BITS - self.log)).astype(np.int64)
+        at = np.flatnonzero(np.diff(shard, prepend=-1))
+        cut = zip(*(np.split(c, at[1:]) for c in (names, *columns)))
+        blobs = [_planes(np.diff(x, prepend=_U(0)), *c) for x, *c in cut] if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+    def build(self, sent: DataFrame, merge, kinds: tuple, layers: int, folder: str) -> Table:
+        """``merge(names, *columns)`` gives names and layers of bytes; of a slot's names the greatest bytes count."""
+        bits, width, file_bits = self.bits, self.bits - self.log, min(self.bits, FILE_BITS)
+
+        def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = int(pdf["shard"].iloc[0])
+            found = [_columns(b, "u8", *kinds) for b in pdf["blob"]]
+            columns = [np.concatenate([np.cumsum(f[0], dtype=_U) for f in found]), *(np.concatenate([f[i] for f in found]) for i in range(1, 1 + len(kinds)))]
+            names, values = merge(*columns)
+            table, slot = np.zeros((layers, 1 << width), np.uint8), (names >> _U(NAME_BITS - bits)).astype(np.int64) - (s << width)
+            for layer, value in zip(table, values):
+                np.maximum.at(layer, slot, value)
+            return pd.DataFrame({"file": [(s << width) >> file_bits], "at": [(s << width) & ((1 << file_bits) - 1)], "part": [table.tobytes()]})
+
+        def write(pdf: pd.DataFrame) -> pd.DataFrame:
+            f = int(pdf["file"].iloc[0])
+            table = np.zeros((layers, 1 << file_bits), np.uint8)
+            for at, part in zip(pdf["at"], pdf["part"]):
+                if part:
+                    table[:, at : at + (1 << width)] = np.frombuffer(part, np.uint8).reshape(layers, -1)
+            put_blob(f"{folder}/{f}", table.tobytes())
+            return pd.DataFrame({"file": [f]})
+
+        parts = sent.groupBy("shard").applyInPandas(reduce, "file long, at long, part binary")
+        every = sent.sparkSession.range(1 << (bits - file_bits)).select(F.col("id").alias("file"), F.lit(0).cast("long").alias("at"), F.lit(b"").alias("part"))
+        parts.unionByName(every).groupBy("file").applyInPandas(write, "file long").collect()
+        return Table(folder, bits, layers)
+
+
+def frequencies(docs: DataFrame, ranges: _Ranges, n: int, folder: str) -> Table:
+    """In how many sets each n-gram is, four codes to a doubling from 1 (two sets) on; a class counts once a task."""
 
     def count(batches):
         sets, held, size = _Sets(n), [], 0
+        for batch in batches:
+            for a, b in arrow_slices(batch.column(0), 1 << 20):
+                g, sizes, _, new = sets(batch.column(0)[a:b].to_pylist())
+                held.append(g[np.repeat(new, sizes)] >> _U(64 - NAME_BITS))
+                size += len(held[-1])
+                if size > BUFFER:
+                    names, k = np.unique(np.concatenate(held), return_counts=True)
+                    yield ranges.emit(names, k.astype(np.uint32))
+                    held, size = [], 0
+        if size:
+            names, k = np.unique(np.concatenate(held), return_counts=True)
+            yield ranges.emit(names, k.astype(np.uint32))
+
+    def merge(names, counts):
+        names, at = np.unique(names, return_inverse=True)
+        k = np.bincount(at, counts, len(names))
+        return names[k > 1], [np.minimum(255, 1 + np.floor(4 * np.log2(k[k > 1]))).astype(np.uint8)]
+
+    return ranges.build(docs.select("text").mapInArrow(count, "shard long, blob binary"), merge, ("u4",), 1, folder)
+
+
+def _size_code(size: np.ndarray) -> np.ndarray:
+    """1-255, eight to a doubling."""
+    return np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(size, 1)))).astype(np.int64)
+
+
+def _fits(p, q, i, j, threshold: float) -> np.ndarray:
+    """Whether sets of p and q may reach the threshold if the first n-gram they share is at places i and j."""
+    need = threshold / (1 + threshold) * (p + q) - 1e-6
+    return (np.minimum(p - i, q - j) >= need) & (np.minimum(p, q) >= threshold * np.maximum(p, q) - 1e-6)
+
+
+def with_partners(docs: DataFrame, ranges: _Ranges, frequency: Table, n: int, threshold: float, folder: str) -> Table:
+    """Sizes between which sets may have a partner in an n-gram's block: codes of the greatest, and 256 less that of the least.
+
+    A few bytes a prefix n-gram travel (place and size); in a block of at most LEAF sets
+    all pairs of places are tried, a larger one is taken as it is.
+    """
+
+    def send(batches):
+        sets, table, held, size = _Sets(n), frequency.again(), [], 0
 
         def out():
-            names, k = np.unique(np.concatenate(held), return_counts=True)
-            shard = (names >> _U(48 - ranges)).astype(np.int64)
-            at = np.flatnonzero(np.diff(shard, prepend=-1))
-            blobs = [_planes(np.diff(x, prepend=_U(0)), c.astype(np.uint32)) for x, c in zip(np.split(names, at[1:]), np.split(k, at[1:]))]
-            return pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            names, p, i = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(names, kind="stable")
+            return ranges.emit(names[order], p[order], i[order])
 
         for batch in batches:
             for a, b in arrow_slices(batch.column(0), 1 << 20):
                 g, sizes, _, new = sets(batch.column(0)[a:b].to_pylist())
-                held.append(g[np.repeat(new, sizes)] >> _U(16))
-                size += len(held[-1])
+                g, sizes = g[np.repeat(new, sizes)], np.where(new, sizes, 0)
+                who, place, at = prefixes(g, table.get(g)[0], sizes, threshold)
+                held.append((g[at] >> _U(64 - NAME_BITS), sizes[who].astype(np.uint32), place.astype(np.uint32)))
+                size += len(at)
                 if size > BUFFER:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["shard"].iloc[0])
-        found = [_columns(b, "u8", "u4") for b in pdf["blob"]]
-        names, at = np.unique(np.concatenate([np.cumsum(d, dtype=_U) for d, _ in found]), return_inverse=True)
-        k = np.bincount(at, np.concatenate([c for _, c in found]), len(names))
-        table = np.zeros(1 << width, np.uint8)
-        np.maximum.at(table, (names[k > 1] >> _U(48 - bits)).astype(np.int64) - (s << width), _code(k[k > 1]))
-        return pd.DataFrame({"file": [(s << width) >> min(bits, FILE_BITS)], "at": [s << width], "part": [table.tobytes()]})
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = int(pdf["file"].iloc[0])
-        table = np.zeros(1 << min(bits, FILE_BITS), np.uint8)
-        for at, part in zip(pdf["at"], pdf["part"]):
-            here = table[(at & (len(table) - 1)) :][: len(part)]
-            np.maximum(here, np.frombuffer(part, np.uint8), out=here)
-        put_blob(f"{folder}/frequency/{f}", table.tobytes())
-        return pd.DataFrame({"file": [f]})
-
-    parts = docs.select("text").mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInPandas(merge, "file long, at long, part binary")
-    every = docs.sparkSession.range(1 << max(0, bits - FILE_BITS)).select(F.col("id").alias("file"), F.lit(0).cast("long").alias("at"), F.lit(b"").alias("part"))
-    parts.unionByName(every).groupBy("file").applyInPandas(write, "file long").collect()
-    return Frequencies(folder, bits)
+    def merge(names, p, i):
+        order = np.argsort(names, kind="stable")
+        names, p, i = names[order], p[order].astype(np.int64), i[order].astype(np.int64)
+        start = np.flatnonzero(np.diff(names, prepend=names[:1] + _U(1)))
+        rows = np.diff(np.append(start, len(names)))
+        alive = np.repeat(rows > LEAF, rows)
+        for m in np.unique(rows[(rows > 1) & (rows <= LEAF)]).tolist():
+            first, (x, y) = start[rows == m], np.triu_indices(m, 1)
+            step = max(1, (1 << 19) // len(x))
+            for s in range(0, len(first), step):
+                a, b = ((first[s : s + step, None] + k).ravel() for k in (x, y))
+                fit = _fits(p[a], p[b], i[a], i[b], threshold)
+                alive[a[fit]] = alive[b[fit]] = True
+        code = _size_code(p[alive])
+        return names[alive], [code.astype(np.uint8), (256 - code).astype(np.uint8)]
+
+    return ranges.build(docs.select("text").mapInArrow(send, "shard long, blob binary"), merge, ("u4", "u4"), 2, folder)
 
 
 # --- sets, their points and prefixes ---
@@ -224,22 +308,26 @@ def prefixes(grams: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold:
     return owner[keep], place[keep], order[keep]
 
 
-def features(docs: DataFrame, frequency: Frequencies, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``k1, k2, doc_id, cls, size, n_blocks, point, grams, places`` of every row.
+def features(docs: DataFrame, frequency: Table, partners: Table, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``k1, k2, doc_id, cls, name, size, n_blocks, point, grams, places`` of every row; ``name`` is half of ``cls``.
 
-    A row without words has no class. Of a class that a task meets again, and without
-    words, the last four are empty.
+    Only prefix n-grams in whose blocks the set may have a partner are there. A row without
+    words has no class. Of a class that a task meets again, and without words, the last
+    four are empty.
     """
 
     def work(batches):
-        sets, table = _Sets(n), Frequencies(frequency.folder, frequency.bits)
+        sets, table, alive = _Sets(n), frequency.again(), partners.again()
         for batch in batches:
             for a, b in arrow_slices(batch.column(3), 1 << 20):
                 g, size, names, new = sets(batch.column(3)[a:b].to_pylist())
                 owner = np.repeat(np.arange(b - a), size)
                 on = new[owner]
                 g, owner, held = g[on], owner[on], np.where(new, size, 0)
-                who, place, at = prefixes(g, table.codes(g), held, threshold)
+                who, place, at = prefixes(g, table.get(g)[0], held, threshold)
+                code, (most, least) = _size_code(held[who]), alive.get(g[at])
+                keep = (code <= most) & (256 - code <= least)
+                who, place, at = who[keep], place[keep], at[keep]
                 k = np.bincount(who, minlength=b - a)
                 ends = np.cumsum(k).tolist()
                 point = _points(g, owner, b - a)
@@ -247,15 +335,15 @@ def features(docs: DataFrame, frequency: Frequencies, n: int = NGRAM, threshold:
                 cut = list(zip([0, *ends[:-1]], ends))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i)[a:b] for i in range(3)), pa.array(names, pa.binary()), pa.array(size, pa.int32()), pa.array(k, pa.int32()),
+                        *(batch.column(i)[a:b] for i in range(3)), pa.array(names, pa.binary()), pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(size, pa.int32()), pa.array(k, pa.int32()),
                         pa.array([p.tobytes() if x else b"" for p, x in zip(point, k)], pa.binary()),
                         pa.array([grams[8 * x : 8 * y] for x, y in cut], pa.binary()), pa.array([places[4 * x : 4 * y] for x, y in cut], pa.binary()),
                     ],
-                    names=["k1", "k2", "doc_id", "cls", "size", "n_blocks", "point", "grams", "places"],
+                    names=["k1", "k2", "doc_id", "cls", "name", "size", "n_blocks", "point", "grams", "places"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(work, f"k1 long, k2 long, doc_id {kind}, cls binary, size int, n_blocks int, point binary, grams binary, places binary")
+    return _keyed(docs).mapInArrow(work, f"k1 long, k2 long, doc_id {kind}, cls binary, name long, size int, n_blocks int, point binary, grams binary, places binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -336,8 +424,8 @@ class RTree:
         return may
 
 
-#: Columns of block rows: n-gram, the block's chunks (0 if it is whole), class, own chunk, size, place, n-grams before, point.
-_KINDS = {"gram": "u8", "sub": "u8", "hi": "u8", "lo": "u8", "own": "u4", "size": "u4", "place": "u4"} | {f"last{i}": "u8" for i in range(LAST)} | {f"point{i}": "u4" for i in range(GROUPS)}
+#: Columns of block rows: n-gram, the block's chunks (0 if it is whole), 96 bits of the class, own chunk, size, place, n-grams before, point.
+_KINDS = {"gram": "u8", "sub": "u8", "hi": "u8", "lo": "u4", "own": "u4", "size": "u4", "place": "u4"} | {f"last{i}": "u8" for i in range(LAST)} | {f"point{i}": "u4" for i in range(GROUPS)}
 _CHUNKS = 1 << 20  # chunks of one block, at most
 
 
@@ -349,7 +437,7 @@ def _block_rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     gram, cls, point = flat("grams", _U), flat("cls", _U).reshape(-1, 2), flat("point", np.uint32).reshape(-1, GROUPS)
     own = np.repeat(np.arange(len(k)), k)
     inside = np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)
-    rows = {"gram": gram, "sub": np.zeros(len(gram), _U), "hi": cls[own, 0], "lo": cls[own, 1], "own": np.zeros(len(gram), np.uint32)}
+    rows = {"gram": gram, "sub": np.zeros(len(gram), _U), "hi": cls[own, 0], "lo": (cls[:, 1] >> _U(32)).astype(np.uint32)[own], "own": np.zeros(len(gram), np.uint32)}
     rows |= {"size": batch.column("size").to_numpy().astype(np.uint32)[own], "place": flat("places", np.uint32)}
     for i in range(LAST):
         rows[f"last{i}"] = np.where(inside > i, np.roll(gram, i + 1), _U(0))
@@ -410,10 +498,9 @@ class _Blocks:
 
     def _allowed(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, q = self.size[x], self.size[y]
-        need = self.share * (p + q) - 1e-6
-        # this n-gram is the first shared one, so the overlap is in what both have from it on
-        keep = (np.minimum(p - self.place[x], q - self.place[y]) >= need) & (np.minimum(p, q) >= self.threshold * np.maximum(p, q) - 1e-6) & (self.whole[x] | (self.own[x] != self.own[y]))
-        x, y, need = x[keep], y[keep], need[keep]
+        # if this n-gram is the first shared one, the overlap is in what both have from it on
+        keep = _fits(p, q, self.place[x], self.place[y], self.threshold) & (self.whole[x] | (self.own[x] != self.own[y]))
+        x, y, need = x[keep], y[keep], self.share * (p + q)[keep] - 1e-6
         met = np.zeros(len(x), bool)
         for i in range(LAST):
             for j in range(LAST):
@@ -423,21 +510,21 @@ class _Blocks:
         return x[keep], y[keep]
 
 
-def _names(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
-    data = np.stack([hi, lo], 1).tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(hi), [None, pa.py_buffer(np.arange(len(hi) + 1, dtype=np.int32) * 16), pa.py_buffer(data)])
+def _bytes(names: np.ndarray) -> pa.Array:
+    """Names of 16 bytes as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.arange(len(names) + 1, dtype=np.int32) * 16), pa.py_buffer(names.tobytes())])
 
 
-def candidates(every: DataFrame, frequency: Frequencies, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """``block, a, b``: pairs of classes that the trees can't rule out, each at least once."""
+def candidates(every: DataFrame, frequency: Table, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """``a, b``: pairs of classes, by name, that the trees can't rule out, each at least once, the lesser first."""
     parts = max(1, -(-(every.agg(F.sum("n_blocks")).first()[0] or 0) // PART_ROWS))
 
     def send(batches):
-        table = Frequencies(frequency.folder, frequency.bits)
+        table = frequency.again()
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 rows = _block_rows(batch.slice(a, 4096))
-                rows = _cut_hot(rows, table.codes(rows["gram"]), hot)
+                rows = _cut_hot(rows, table.get(rows["gram"])[0], hot)
                 part = (mix(rows["gram"] ^ mix(rows["sub"])) % _U(parts)).astype(np.int64)
                 order = np.lexsort((rows["gram"], part))
                 edge = np.flatnonzero(np.diff(part[order], prepend=-1))
@@ -462,7 +549,7 @@ def candidates(every: DataFrame, frequency: Frequencies, threshold: float = THRE
             pa.default_memory_pool().release_unused()
 
     sent = every.where("n_blocks > 0").select("cls", "size", "n_blocks", "point", "grams", "places").mapInArrow(send, "part long, blob binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(join, "block long, a binary, b binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(join, "a long, b long")
 
 
 def _by_part(batches):
@@ -481,66 +568,119 @@ def _by_part(batches):
 
 def _batch(blocks: _Blocks, held: list) -> pa.RecordBatch:
     x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-    swap = (blocks.hi[x] > blocks.hi[y]) | ((blocks.hi[x] == blocks.hi[y]) & (blocks.lo[x] > blocks.lo[y]))
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    block = mix(blocks.gram[x] ^ mix(blocks.sub[x])).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(block), _names(blocks.hi[x], blocks.lo[x]), _names(blocks.hi[y], blocks.lo[y])], names=["block", "a", "b"])
+    a, b = blocks.hi[x].view(np.int64), blocks.hi[y].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 # --- verification ---
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+def gather(pairs: DataFrame, most: int = HOT) -> DataFrame:
+    """``block, a, b``: each pair with the gathering in which it is verified, of at most about 2 * ``most`` sets."""
+    # from a set to its least neighbour, and on from there: most of a dense group meets at one
+    home = pairs.withColumn("home", F.col("a"))
+    for _ in range(STEPS):
+        low = home.groupBy("b").agg(F.min("home").alias("low")).withColumnRenamed("b", "a")
+        home = home.join(low, "a", "left").select("a", "b", F.least("home", F.coalesce("low", "home")).alias("home"))
+    sets = home.select("home", F.col("a").alias("name")).unionByName(home.select("home", F.col("b").alias("name"))).distinct().groupBy("home").agg(F.count("*").alias("n"))
+    large = sets.where(F.col("n") > most).select("home", F.ceil(F.col("n") / most).alias("chunks"))
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.coalesce("chunks", F.lit(1)))
+    return home.join(large, "home", "left").select(F.xxhash64("home", F.least(chunk("a"), chunk("b")), F.greatest(chunk("a"), chunk("b"))).alias("block"), "a", "b")
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: int = NGRAM, threshold: float = THRESHOLD, *, forest: bool = False, most: int = HOT) -> DataFrame:
     """``a, b, jaccard`` of the candidate pairs that reach the threshold, compared as sets of 64-bit n-grams.
 
-    A block's texts travel to it once each, with its pairs behind them; a Bloom filter keeps
-    texts that are in no pair out of the shuffle.
+    With ``forest``, instead of all links: ``a, b`` of as many as connect what they
+    connect in a gathering, and ``a, n`` (b is null), the number of a's links there. A gathering's texts
+    travel to it once each, with its pairs behind them; a Bloom filter keeps texts that
+    are in no pair out of the shuffle.
     """
-    ends = pairs.select("block", F.col("a").alias("cls")).unionByName(pairs.select("block", F.col("b").alias("cls"))).distinct()
-    ends = materialize(ends.join(reps.select("cls", "m.k1", "m.k2"), "cls"), folder, "ends")
+    pairs = materialize(gather(pairs, most), folder, "gathered")
+    ends = pairs.select("block", F.col("a").alias("name")).unionByName(pairs.select("block", F.col("b").alias("name"))).distinct()
+    ends = materialize(ends.join(reps.select("name", "cls", "m.k1", "m.k2"), "name").drop("name"), folder, "ends")
     level = bloom(ends.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct(), ends.count(), 0.02, f"{folder}/wanted")
     texts = docs.where("text is not null").select(*row_keys("doc_id", "text"), "text")
     texts = texts.where(level.column(F.col("k1"), F.col("k2"))).dropDuplicates(["k1", "k2"])
-    rows = ends.join(texts, ["k1", "k2"]).select("block", F.lit(None).cast("binary").alias("a"), F.col("cls").alias("b"), "text")
-    todo = rows.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("string").alias("text")))
+    none = F.lit(None)
+    rows = ends.join(texts, ["k1", "k2"]).select("block", none.cast("long").alias("a"), none.cast("long").alias("b"), "cls", "text")
+    todo = rows.unionByName(pairs.select("block", "a", "b", none.cast("binary").alias("cls"), none.cast("string").alias("text")))
 
     def work(batches):
         grams = _Grams(n)
-        now, names, sets, bits = None, [], [], None
+        now, names, sets, bits, trees = None, [], [], None, None
         for batch in batches:
-            block, texts = batch.column(0).to_numpy(), batch.column(3)
+            block, texts = batch.column(0).to_numpy(), batch.column(4)
             is_pair = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1, [len(block)]]).tolist()
             for s, e in zip(edges[:-1], edges[1:]):
                 if s == e:
                     continue
                 if block[s] != now:
-                    now, names, sets, bits = block[s], [], [], None
+                    if trees is not None:
+                        yield trees.rows(bits.names)
+                    now, names, sets, bits, trees = block[s], [], [], None, None
                 if not is_pair[s]:
                     part = texts[s:e]
                     for x, y in arrow_slices(part, 1 << 20):
                         flat, sizes = grams.many(part[x:y].to_pylist())
                         sets += np.split(flat, np.cumsum(sizes)[:-1])
-                    names.append(_fixed(batch.column(2)[s:e]))
+                    names.append(_fixed(batch.column(3)[s:e]))
                     continue
                 if bits is None:
                     bits = _Bits(np.concatenate(names), sets)
-                yield _overlaps(batch.column(1)[s:e], batch.column(2)[s:e], bits, threshold)
+                i, j, jaccard = bits.links(batch.column(1)[s:e].to_numpy(), batch.column(2)[s:e].to_numpy(), threshold)
+                if forest:
+                    trees = trees or _Forest(len(bits.names))
+                    trees.add(i, j)
+                else:
+                    yield pa.RecordBatch.from_arrays([_bytes(bits.names[i]), _bytes(bits.names[j]), pa.array(jaccard)], names=["a", "b", "jaccard"])
+        if trees is not None:
+            yield trees.rows(bits.names)
 
     sized = todo.repartition("block").sortWithinPartitions("block", F.col("a").asc_nulls_first(), "b")
-    return sized.mapInArrow(work, "a binary, b binary, jaccard double")
+    return sized.mapInArrow(work, "a binary, b binary, n long" if forest else "a binary, b binary, jaccard double")
+
+
+class _Forest:
+    """Links of a gathering: how many each set has, and as many as connect it."""
+
+    def __init__(self, sets: int):
+        self.root, self.n, self.kept = np.arange(sets), np.zeros(sets, np.int64), []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.n += np.bincount(i, minlength=len(self.n)) + np.bincount(j, minlength=len(self.n))
+        for s in range(0, len(i), 65536):
+            a, b = i[s : s + 65536], j[s : s + 65536]
+            while len(at := np.flatnonzero(self.root[a] != self.root[b])):
+                a, b = a[at], b[at]
+                low, high = np.minimum(self.root[a], self.root[b]), np.maximum(self.root[a], self.root[b])
+                high, first = np.unique(high, return_index=True)
+                self.root[high] = low[first]  # each root goes below a lesser one
+                self.kept.append((a[first], b[first]))
+                while (self.root[self.root] != self.root).any():
+                    self.root = self.root[self.root]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(self.n)
+        a, b = (np.concatenate([k[x] for k in self.kept] or [np.empty(0, np.int64)]) for x in (0, 1))
+        return pa.RecordBatch.from_arrays(
+            [_bytes(names[np.concatenate([a, at])]), pa.concat_arrays([_bytes(names[b]), pa.nulls(len(at), pa.binary())]), pa.array([None] * len(a) + self.n[at].tolist(), pa.int64())],
+            names=["a", "b", "n"],
+        )
 
 
 def _fixed(names: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(names.to_pylist()), "S16")
+    return np.frombuffer(b"".join(names.to_pylist()), "V16")
 
 
 class _Bits:
     """Sets of a block as rows of bits over the n-grams that at least two of them hold."""
 
     def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
-        self.order = np.argsort(names)
-        self.names = names[self.order]
+        half = names.view(np.int64)[::2]
+        self.order = np.argsort(half, kind="stable")
+        self.names, self.half = names[self.order], half[self.order]
         self.size = np.array([len(x) for x in sets])[self.order]
         flat = np.concatenate([sets[i] for i in self.order])
         owner = np.repeat(np.arange(len(sets)), self.size)
@@ -555,6 +695,23 @@ class _Bits:
         self.words = -(-columns // 64) or 1
         self.parts = max(1, -(-len(sets) * self.words * 8 // (64 << 20)))  # a wide block goes in strips of columns
 
+    def links(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index pairs of those pairs (by half a name) that reach the threshold, and their Jaccard similarities.
+
+        Should two classes agree in half their names, each is tried.
+        """
+        i, j = np.searchsorted(self.half, a), np.searchsorted(self.half, b)
+        if (self.half[1:] == self.half[:-1]).any():
+            p, q = np.searchsorted(self.half, a, "right") - i, np.searchsorted(self.half, b, "right") - j
+            pair = np.repeat(np.arange(len(a)), p * q)
+            inside = np.arange(len(pair)) - np.repeat(np.cumsum(p * q) - p * q, p * q)
+            i, j = i[pair] + inside // q[pair], j[pair] + inside % q[pair]
+            i, j = i[i < j], j[i < j]
+        both = self.overlap(i, j)
+        jaccard = both / (self.size[i] + self.size[j] - both)
+        keep = jaccard >= threshold
+        return i[keep], j[keep], jaccard[keep]
+
     def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
         width = -(-self.words // self.parts)
@@ -577,37 +734,31 @@ class _Bits:
         return bits
 
 
-def _overlaps(a: pa.Array, b: pa.Array, bits: _Bits, threshold: float) -> pa.RecordBatch:
-    i, j = np.searchsorted(bits.names, _fixed(a)), np.searchsorted(bits.names, _fixed(b))
-    both = bits.overlap(i, j)
-    jac = both / (bits.size[i] + bits.size[j] - both)
-    at = pa.array(np.flatnonzero(jac >= threshold))
-    return pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(jac[jac >= threshold])], names=["a", "b", "jaccard"])
-
-
 # --- classes and groups ---
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame, str]:
-    """Distinct rows (``k1, k2, doc_id, cls, n``), classes (``cls, m, members``), and pairs of classes (``a, b, jaccard``).
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT, *, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Distinct rows (``k1, k2, doc_id, cls, name, n``), classes (``cls, name, m, members``), links of classes (see verify), and their folder.
 
     ``m`` is the row that stands for a class: the least by id (nulls last), then key.
     """
     folder = shared_dir(docs.sparkSession)
-    frequency = frequencies(docs.where("text is not null").select("text"), n, folder)
-    every = materialize(features(docs, frequency, n, threshold), folder, "features")
-    rows = every.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("cls").alias("cls"), F.count("*").alias("n"))
+    texts = docs.where("text is not null").select("text")
+    ranges = _Ranges(texts)
+    frequency = frequencies(texts, ranges, n, f"{folder}/frequency")
+    partners = with_partners(texts, ranges, frequency, n, threshold, f"{folder}/partners")
+    every = materialize(features(docs, frequency, partners, n, threshold), folder, "features")
+    rows = every.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("cls").alias("cls"), F.first("name").alias("name"), F.count("*").alias("n"))
     rows = materialize(rows, folder, "rows")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2"))
-    reps = materialize(rows.where("cls is not null").groupBy("cls").agg(least.alias("m"), F.count("*").alias("members")), folder, "classes")
-    found = candidates(every, frequency, threshold, hot).groupBy("a", "b").agg(F.min("block").alias("block"))
-    pairs = materialize(found.select("block", "a", "b"), folder, "pairs")
-    return rows, reps, materialize(verify(pairs, reps, docs, folder, n, threshold), folder, "links"), folder
+    reps = materialize(rows.where("cls is not null").groupBy("cls", "name").agg(least.alias("m"), F.count("*").alias("members")), folder, "classes")
+    pairs = materialize(candidates(every, frequency, threshold, hot).distinct(), folder, "pairs")
+    return rows, reps, materialize(verify(pairs, reps, docs, folder, n, threshold, forest=forest, most=hot), folder, "links"), folder
 
 
-def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """``doc_a, doc_b, jaccard``: pairs of classes at or above the threshold, by the ids that stand for them, smaller first."""
-    _, reps, links, _ = similar_sets(docs, n, threshold)
+    _, reps, links, _ = similar_sets(docs, n, threshold, hot)
     left, right = (reps.select(F.col("cls").alias(k), F.col("m.doc_id").alias(f"{k}_id")) for k in ("a", "b"))
     first = F.col("b_id").isNull() | (F.col("a_id") <= F.col("b_id"))
     ids = links.join(left, "a").join(right, "b")
@@ -616,13 +767,13 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
 
 def _grouped(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame, str]:
     """Distinct rows, and by class: ``best`` (the row that stands for its group), members, links."""
-    rows, reps, links, folder = similar_sets(docs, n, threshold, hot)
-    roots = components(links.select("a", "b"), folder)
+    rows, reps, links, folder = similar_sets(docs, n, threshold, hot, forest=True)
+    roots = components(links.where("b is not null").select("a", "b"), folder)
     inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     inside = inside.join(reps, inside["node"] == reps["cls"]).select("cls", "root", "m")
     best = inside.groupBy("root").agg(F.min("m").alias("best"))
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    known = inside.join(best, "root").select("cls", "best").join(ends, "cls")
+    number = links.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
+    known = inside.join(best, "root").select("cls", "best").join(number, "cls")
     classes = reps.join(known, "cls", "left").select("cls", F.coalesce("best", "m").alias("best"), "members", F.coalesce("links", F.lit(0)).alias("links"))
     return rows, classes, folder
 

@@ -144,13 +144,14 @@ class Machine:
     def score(self, units: list[str]) -> np.ndarray:
         """Decision values; a longer unit has its worst piece's.
 
-        A unit of ``clean`` (clean training texts hold it time and again), or a piece that is too short or that letters are less than half of has the bias.
+        A unit of ``clean`` (clean training texts hold it time and again) has the bias, and so has a
+        piece with fewer than ORDER characters that can be read as letters.
         """
         out = np.full(len(units), self.bias)
         by_length = defaultdict(list)
         for i, u in enumerate(units):
             for piece in () if u in self.clean else _pieces(u):
-                if 2 * sum(map(str.isalpha, piece)) >= len(piece) >= ORDER:
+                if sum(_code(c) > 0 for c in piece) >= ORDER:
                     piece = _START * (u.startswith(piece)) + piece + _END * (u.endswith(piece))
                     by_length[len(piece)].append((i, piece))
         for n, found in by_length.items():
@@ -332,7 +333,7 @@ def _spelled(tokens: list[str], single: np.ndarray) -> list[tuple[int, str]]:
     return [(int(a), "".join(unit(t) for t in tokens[a:b])) for a, b in zip(edge[::2], edge[1::2]) if b - a >= ORDER]
 
 
-SCHEMA = "doc_id long, score double, toxic boolean, worst string, n_toxic int"
+SCHEMA = "score double, toxic boolean, worst string, n_toxic int"
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -385,7 +386,8 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
                     names=["doc_id", "score", "toxic", "worst", "n_toxic"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {SCHEMA}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,8 +32,24 @@ def _scored(pre_docs: DataFrame, kv: DataFrame, seeds: Iterable[str], window: in
     return occ.select("doc_id", "i", unit(F.col("v")).alias("u"))
 
 
-def _with_text(best: DataFrame, pre_docs: DataFrame, window: int) -> DataFrame:
-    """Texts join after the cut, so that only kept rows carry them."""
+def _best_of(scores: DataFrame, label: str, most: int | None) -> DataFrame:
+    """The ``most`` best rows of each label of ``scores(doc_id, i, label, cosine)``; partial limits come before the shuffle."""
+    if most is None:
+        return scores
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*_best()))
+    return scores.withColumn("r", place).where(F.col("r") <= most).drop("r")
+
+
+def _with_text(best: DataFrame, pre_docs: DataFrame, label: Column, window: int, *, bounded: bool) -> DataFrame:
+    """``best`` with its passages, in order of ``label`` and best first.
+
+    Where a parameter bounds ``best``, its rows come to the driver, and the filter on their
+    documents reaches the scan: no other text is preprocessed again.
+    """
+    if bounded:
+        found = best.toArrow()
+        pre_docs = pre_docs.where(F.col("doc_id").isin(sorted(set(found.column("doc_id").to_pylist()) - {None})))
+        best = F.broadcast(best.sparkSession.createDataFrame(found, best.schema))
     rows = best.join(pre_docs.select("doc_id", "sents_surface", "doc_lemmas", "token_to_sent"), "doc_id")
     low, high = context_bounds(F.col("i"), F.col("doc_lemmas"), window)
     rows = rows.withColumn("start_token_idx", low).withColumn("end_token_idx", high)
@@ -41,42 +57,42 @@ def _with_text(best: DataFrame, pre_docs: DataFrame, window: int) -> DataFrame:
     one, two = anchor(s, a, b, F.size("sents_surface"))
     rows = rows.withColumn("start_sent_idx", one).withColumn("end_sent_idx", two)
     text = F.trim(F.array_join(F.slice("sents_surface", F.col("start_sent_idx") + 1, F.col("end_sent_idx") - F.col("start_sent_idx") + 1), " "))
-    return (
+    rows = (
         rows.withColumn("seed", F.get("doc_lemmas", F.col("i"))).withColumn("snippet_anchor", text)
         .withColumn("essay_text_surface", F.array_join("sents_surface", " ")).withColumn("essay_text_lemmas", F.array_join("doc_lemmas", " "))
     )
+    return rows.orderBy(label, *_best())
 
 
 def snippets_along_beta(pre_docs: DataFrame, kv: DataFrame, direction: Sequence[float], seeds: Iterable[str], *, token_window: int = WINDOW, sif_a: float = SIF_A, top_per_side: int | None = 200, min_cosine: float | None = None) -> DataFrame:
-    """``side_label`` and COLUMNS: the occurrences closest to each pole, best first.
+    """``side_label`` and COLUMNS: the occurrences closest to each pole (beta_pos, then beta_neg), best first.
 
     Ties go by document and place. ``top_per_side`` None keeps all.
     """
-    bu = unit_list(direction)
-    cos = _scored(pre_docs, kv, seeds, token_window, sif_a).select("doc_id", "i", dot(F.col("u"), literal(bu)).alias("c"))
-    out = None
-    for side, sign in (("pos", 1.0), ("neg", -1.0)):
-        part = cos.select("doc_id", "i", (F.col("c") * sign).alias("cosine"), F.lit(side).alias("side_label"))
-        if min_cosine is not None:
-            part = part.where(F.col("cosine") >= min_cosine)
-        if top_per_side is not None:
-            part = part.orderBy(*_best()).limit(top_per_side)
-        out = part if out is None else out.unionByName(part)
-    return _with_text(out, pre_docs, token_window).select("side_label", *COLUMNS)
+    cos = dot(F.col("u"), literal(unit_list(direction)))
+    scored = _scored(pre_docs, kv, seeds, token_window, sif_a).select("doc_id", "i", cos.alias("c"))
+    poles = F.array(*[F.struct(F.lit(side).alias("side_label"), (F.col("c") * sign).alias("cosine")) for side, sign in (("beta_pos", 1.0), ("beta_neg", -1.0))])
+    scored = scored.select("doc_id", "i", F.explode(poles).alias("p")).select("doc_id", "i", "p.side_label", "p.cosine")
+    if min_cosine is not None:
+        scored = scored.where(F.col("cosine") >= min_cosine)
+    best = _best_of(scored, "side_label", top_per_side)
+    return _with_text(best, pre_docs, F.desc("side_label"), token_window, bounded=top_per_side is not None).select("side_label", *COLUMNS)
 
 
 def cluster_snippets_by_centroids(pre_docs: DataFrame, kv: DataFrame, centroids: DataFrame, seeds: Iterable[str], *, side: str = "pos", token_window: int = WINDOW, sif_a: float = SIF_A, top_per_cluster: int = 100) -> DataFrame:
     """``centroid_label`` and COLUMNS: the occurrences closest to each of ``centroids(cluster_rank, centroid)``.
 
-    Vectors are computed once and met with the few centroids; labels sort as strings. A zero
-    centroid has no rows; without a match the frame is empty with its columns.
+    Vectors are computed once and met with the few centroids, which become literals; labels
+    sort as strings, best first in each. A zero centroid has no rows; without a match the frame is
+    empty with its columns.
     """
+    named = [(f"{side}_cluster_{r['cluster_rank']}", r["centroid"]) for r in centroids.collect() if any(r["centroid"])]
     occ = _scored(pre_docs, kv, seeds, token_window, sif_a)
-    labels = centroids.where(F.exists("centroid", lambda x: x != 0)).select(F.concat(F.lit(f"{side}_cluster_"), F.col("cluster_rank").cast("string")).alias("centroid_label"), "centroid")
-    scored = occ.crossJoin(labels).select("doc_id", "i", "centroid_label", dot(F.col("u"), F.col("centroid")).alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("centroid_label").orderBy(*_best()))
-    best = scored.withColumn("r", place).where(F.col("r") <= top_per_cluster).drop("r")
-    return _with_text(best, pre_docs, token_window).select("centroid_label", *COLUMNS)
+    each = F.array(*[F.struct(F.lit(n).alias("centroid_label"), dot(F.col("u"), literal(c)).alias("cosine")) for n, c in named])
+    kind = "array<struct<centroid_label:string,cosine:double>>"
+    scored = occ.select("doc_id", "i", F.explode(each.cast(kind)).alias("p")).select("doc_id", "i", "p.centroid_label", "p.cosine")
+    best = _best_of(scored, "centroid_label", top_per_cluster)
+    return _with_text(best, pre_docs, F.asc("centroid_label"), token_window, bounded=True).select("centroid_label", *COLUMNS)
 
 
 def seeds_in(pre_docs: DataFrame, seeds: Iterable[str]) -> DataFrame:

@@ -120,7 +120,7 @@ ORACLE_SQL = {
     "token_presence_missing": _presence(_CALL),
     "lexicon_summary": f"""with {_measures(_C.replace("select doc_id, y, k from tok", f"select doc_id, y, case when len(list_filter(k, lambda x: x in {_SEEDS})) > 0 then ['any'] else [] end k from tok"))}, {_STATS}
 select docs docs_any, round(cov_all, 6) cov_all, round(q1, 6) q1, round(q4, 6) q4, round(corr, 6) corr_any from ranked where token = 'any'""",
-    "lexicon_per_token": f"""with {_measures(_C)}, {_STATS}
+    "lexicon_per_token": f"""with {_measures(_C.replace("select doc_id, y, k from tok", f"select doc_id, y, list_filter(k, lambda x: x in {_SEEDS}) k from tok"))}, {_STATS}
 select word, coalesce(docs, 0) docs, coalesce(round(cov_all, 6), 0.0) cov_all, coalesce(round(q1, 6), 0.0) q1, coalesce(round(q4, 6), 0.0) q4, coalesce(round(corr, 6), 0.0) corr
 from (select unnest(['for', 'that', 'was', 'qqqq']) word) left join ranked on token = word""",
     "sentence_split": f"""with {_PRE},
@@ -154,10 +154,10 @@ select tok.doc_id, vec.doc_id is not null kept, round(list_inner_product(v, du)
   round(1500 + 800 * 2.5 * list_inner_product(v, d), 6) yhat_raw, case when vec.doc_id is not null then round((y - 1500) / 800, 6) end y_true_std, case when vec.doc_id is not null then y end y_true_raw
 from tok cross join dir left join vec on vec.doc_id = tok.doc_id""",
     "beta_snippets": f"""with {_SNIP}, {_BETA_COS},
-best as ((select 'pos' side_label, doc_id, i, c cosine from bc order by round(c, 9) desc, doc_id, i limit 200) union all (select 'neg', doc_id, i, -c from bc order by round(-c, 9) desc, doc_id, i limit 200)), {_ANCHOR}
+best as ((select 'beta_pos' side_label, doc_id, i, c cosine from bc order by round(c, 9) desc, doc_id, i limit 200) union all (select 'beta_neg', doc_id, i, -c from bc order by round(-c, 9) desc, doc_id, i limit 200)), {_ANCHOR}
 select side_label, {_OUT}""",
     "beta_snippets_floor": f"""with {_SNIP}, {_BETA_COS},
-best as (select 'pos' side_label, doc_id, i, c cosine from bc where c >= 0.2 union all select 'neg', doc_id, i, -c from bc where -c >= 0.2), {_ANCHOR}
+best as (select 'beta_pos' side_label, doc_id, i, c cosine from bc where c >= 0.2 union all select 'beta_neg', doc_id, i, -c from bc where -c >= 0.2), {_ANCHOR}
 select side_label, {_OUT}""",
     "cluster_stats": f"with {_KVD}, {_clusters('pos')}, {_clusters('neg')} select side, cast(cluster_rank as integer) cluster_rank, size, centroid_cos_beta, coherence, top_words from (select * from cl_pos union all select * from cl_neg)",
     "cluster_members": f"with {_KVD}, {_clusters('pos')} select side, cast(r as integer) cluster_rank, word, round(cc, 6) cos_to_centroid, round(cb, 6) cos_to_beta from me_pos",
