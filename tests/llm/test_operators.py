@@ -464,6 +464,25 @@ def test_large_blocks_and_rtree(monkeypatch):
     assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == {tuple(sorted(p)) for p in want}
 
 
+def test_sketches_lose_nothing():
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 2, 31, 33, 90, 200, 700):
+        base = rng.integers(0, 2**62, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(n) < s], rng.integers(0, 2**62, int(m * n)).astype(np.uint64)])) for s in (1.1, 0.9, 0.6) for m in (0, 0.2, 1)]
+    sets = [x for x in sets if len(x)]
+    size = np.array([len(x) for x in sets])
+    bits, length = ngramjoin.sketches(np.concatenate(sets), size)
+    parts = [x.tobytes() for x in np.split(bits, np.cumsum(length)[:-1])]
+    x, y = np.triu_indices(len(sets), 1)
+    want = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5 for i, j in zip(x, y)])
+    names = rng.permutation(10 * len(sets))[: len(sets)].astype(np.int64)
+    got = ngramjoin._Sketches(names, size, parts).may(names[x], names[y], 0.5)
+    assert (got | ~want).all() and (got & ~want).sum() < 0.05 * (~want).sum()
+    half = names[np.arange(len(sets)) // 2]  # two sets to a name: never ruled out
+    assert ngramjoin._Sketches(half, size, parts).may(half[x], half[y], 0.5).all()
+
+
 def test_one_of_each_group_stays(spark):
     rng = np.random.default_rng(11)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 80)]

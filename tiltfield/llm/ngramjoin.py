@@ -19,9 +19,11 @@ the threshold; just their rows, with the points, are sent by the third.
 Each block's points are bulk-loaded into an R-tree, which is joined with itself: two
 nodes, then two points, go on only while the bounds allow the threshold. A block of more
 than HOT sets is cut into chunks that meet pairwise in blocks of their own, so that no task
-holds an unbounded one. Surviving pairs are verified on the sets themselves, gathered
-by the least class that the lesser one of a pair is paired with, so that a text travels about
-once to all that is like it; such gatherings are cut like blocks.
+holds an unbounded one. Surviving pairs are gathered by the least class that the lesser one
+of a pair is paired with, so that what is known of a set travels about once to all that is
+like it; such gatherings are cut like blocks. In a gathering first sketches meet (a bit for
+each hash of an n-gram, a few bits an n-gram, which bound the overlap too), then, of the
+pairs that are left, the texts, and pairs are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -289,6 +291,19 @@ def with_partners(docs: DataFrame, ranges: _Ranges, frequency: Table, n: int, th
 # --- sets, their points and prefixes ---
 
 
+def sketches(grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets laid end to end: a bit for each hash that an n-gram has, on end in bytes, and each sketch's length.
+
+    A set of n has a power of two of bits, 2 n to 4 n, at least 64. Half of a sketch on
+    the other half is the sketch with half the bits.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64)) * (size > 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    flags = np.zeros(int(bits.sum()), bool)
+    flags[(np.cumsum(bits) - bits)[owner] + (mix(grams ^ _U(_SEED + 1)) & (bits[owner] - 1).astype(_U)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little"), bits // 8
+
+
 def _points(grams: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
     """Counts of each set's n-grams by group: sets x GROUPS."""
     return np.bincount(owner * GROUPS + (mix(grams) % _U(GROUPS)).astype(np.int64), minlength=sets * GROUPS).reshape(sets, GROUPS).astype(np.uint32)
@@ -309,11 +324,11 @@ def prefixes(grams: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold:
 
 
 def features(docs: DataFrame, frequency: Table, partners: Table, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``k1, k2, doc_id, cls, name, size, n_blocks, point, grams, places`` of every row; ``name`` is half of ``cls``.
+    """``k1, k2, doc_id, cls, name, size, n_blocks, point, grams, places, sketch`` of every row; ``name`` is half of ``cls``.
 
     Only prefix n-grams in whose blocks the set may have a partner are there. A row without
     words has no class. Of a class that a task meets again, and without words, the last
-    four are empty.
+    five are empty.
     """
 
     def work(batches):
@@ -333,17 +348,21 @@ def features(docs: DataFrame, frequency: Table, partners: Table, n: int = NGRAM,
                 point = _points(g, owner, b - a)
                 grams, places = g[at].tobytes(), place.astype(np.uint32).tobytes()
                 cut = list(zip([0, *ends[:-1]], ends))
+                some = k > 0
+                bits, length = sketches(g[some[owner]], held * some)
+                bits, upto = bits.tobytes(), np.cumsum(length).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i)[a:b] for i in range(3)), pa.array(names, pa.binary()), pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(size, pa.int32()), pa.array(k, pa.int32()),
                         pa.array([p.tobytes() if x else b"" for p, x in zip(point, k)], pa.binary()),
                         pa.array([grams[8 * x : 8 * y] for x, y in cut], pa.binary()), pa.array([places[4 * x : 4 * y] for x, y in cut], pa.binary()),
+                        pa.array([bits[x:y] for x, y in zip([0, *upto[:-1]], upto)], pa.binary()),
                     ],
-                    names=["k1", "k2", "doc_id", "cls", "name", "size", "n_blocks", "point", "grams", "places"],
+                    names=["k1", "k2", "doc_id", "cls", "name", "size", "n_blocks", "point", "grams", "places", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(work, f"k1 long, k2 long, doc_id {kind}, cls binary, name long, size int, n_blocks int, point binary, grams binary, places binary")
+    return _keyed(docs).mapInArrow(work, f"k1 long, k2 long, doc_id {kind}, cls binary, name long, size int, n_blocks int, point binary, grams binary, places binary, sketch binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -588,7 +607,69 @@ def gather(pairs: DataFrame, most: int = HOT) -> DataFrame:
     return home.join(large, "home", "left").select(F.xxhash64("home", F.least(chunk("a"), chunk("b")), F.greatest(chunk("a"), chunk("b"))).alias("block"), "a", "b")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: int = NGRAM, threshold: float = THRESHOLD, *, forest: bool = False, most: int = HOT) -> DataFrame:
+class _Sketches:
+    """Sketches of a gathering, by half a name."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, sketches: list[bytes]):
+        order = np.argsort(names, kind="stable")
+        self.names, self.size = names[order], sizes[order].astype(np.int64)
+        self.rows = [np.frombuffer(sketches[i], np.uint64) for i in order]
+        self.words = np.array([len(r) for r in self.rows])
+        same = self.names[1:] == self.names[:-1]
+        self.twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+
+    def may(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the sketches let a pair reach the threshold; a name that two classes have always may."""
+        i, j = np.searchsorted(self.names, a), np.searchsorted(self.names, b)
+        out = self.twice[i] | self.twice[j]
+        width = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(width[~out]).tolist():
+            at = np.flatnonzero((width == w) & ~out)
+            step = max(1, min(1 << 16, (4 << 20) // w))
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                held, place = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+                bits = np.stack([self.rows[k] if len(self.rows[k]) == w else np.bitwise_or.reduce(self.rows[k].reshape(-1, w), 0) for k in held])
+                x, y = place[: len(part)], place[len(part) :]
+                size = self.size[held]
+                hidden = size - np.bitwise_count(bits).sum(1, dtype=np.int64)  # n-grams that have no bit of their own
+                both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(hidden[x], hidden[y])
+                out[part] = both >= threshold / (1 + threshold) * (size[x] + size[y]) - 1e-6
+        return out
+
+
+def sift(pairs: DataFrame, every: DataFrame, threshold: float) -> DataFrame:
+    """``block, a, b``: the gathered pairs that their sketches, which travel to a gathering once each, can't rule out."""
+    ends = pairs.select("block", F.col("a").alias("name")).unionByName(pairs.select("block", F.col("b").alias("name"))).distinct()
+    known = every.where("n_blocks > 0").select("name", "cls", "size", "sketch").repartition("name").dropDuplicates(["name", "cls"])
+    none = F.lit(None)
+    rows = ends.join(known, "name").select("block", none.cast("long").alias("a"), none.cast("long").alias("b"), "name", "size", "sketch")
+    todo = rows.unionByName(pairs.select("block", "a", "b", none.cast("long").alias("name"), none.cast("int").alias("size"), none.cast("binary").alias("sketch")))
+
+    def work(batches):
+        now, held, found = None, [], None
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            is_pair = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1, [len(block)]]).tolist()
+            for s, e in zip(edges[:-1], edges[1:]):
+                if s == e:
+                    continue
+                if block[s] != now:
+                    now, held, found = block[s], [], None
+                part = batch.slice(s, e - s)
+                if not is_pair[s]:
+                    held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_pylist()))
+                    continue
+                if found is None:
+                    found = _Sketches(*(np.concatenate([h[i] for h in held]) for i in (0, 1)), [x for h in held for x in h[2]])
+                keep = found.may(part.column(1).to_numpy(), part.column(2).to_numpy(), threshold)
+                yield part.select(["block", "a", "b"]).filter(pa.array(keep))
+
+    return todo.repartition("block").sortWithinPartitions("block", F.col("a").asc_nulls_first(), "b").mapInArrow(work, "block long, a long, b long")
+
+
+def verify(pairs: DataFrame, every: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: int = NGRAM, threshold: float = THRESHOLD, *, forest: bool = False, most: int = HOT) -> DataFrame:
     """``a, b, jaccard`` of the candidate pairs that reach the threshold, compared as sets of 64-bit n-grams.
 
     With ``forest``, instead of all links: ``a, b`` of as many as connect what they
@@ -597,6 +678,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, n: i
     are in no pair out of the shuffle.
     """
     pairs = materialize(gather(pairs, most), folder, "gathered")
+    pairs = materialize(sift(pairs, every, threshold), folder, "sifted")
     ends = pairs.select("block", F.col("a").alias("name")).unionByName(pairs.select("block", F.col("b").alias("name"))).distinct()
     ends = materialize(ends.join(reps.select("name", "cls", "m.k1", "m.k2"), "name").drop("name"), folder, "ends")
     level = bloom(ends.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct(), ends.count(), 0.02, f"{folder}/wanted")
@@ -753,7 +835,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2"))
     reps = materialize(rows.where("cls is not null").groupBy("cls", "name").agg(least.alias("m"), F.count("*").alias("members")), folder, "classes")
     pairs = materialize(candidates(every, frequency, threshold, hot).distinct(), folder, "pairs")
-    return rows, reps, materialize(verify(pairs, reps, docs, folder, n, threshold, forest=forest, most=hot), folder, "links"), folder
+    return rows, reps, materialize(verify(pairs, every, reps, docs, folder, n, threshold, forest=forest, most=hot), folder, "links"), folder
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
