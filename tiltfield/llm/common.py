@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import re
 import tempfile
@@ -117,6 +118,15 @@ def row_keys(*columns: str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((0x5EED, "k1"), (0xBEEF01, "k2"))]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return free memory of Arrow's pool and, where it can, of the C library: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 class HashCache(dict):
     """token -> 64-bit hash, kept for at most ``limit`` tokens at a time."""
 
@@ -203,4 +213,4 @@ def arrow_slices(texts: pa.Array, limit: int = SLICE_BYTES):
         stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit)) + 1
         yield start, min(stop, len(size))
         start = stop
-        pa.default_memory_pool().release_unused()
+        give_back()

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Labelled rows of each language that the model is fitted on, by the least md5 of their id.
 TRAIN_ROWS = 1000
 #: Lengths of the n-grams.
@@ -155,8 +157,11 @@ def identify(spark: SparkSession, text: Column, model: Model) -> Column:
         scorer = _Scorer(m)
         for texts in batches:
             out = [_verdict(scorer.text(t) if t else None, m) for t in texts]
+            del texts
             yield pd.DataFrame(out, columns=["lang", "margin", "n_words", "accepted"])
-            pa.default_memory_pool().release_unused()
+            common.give_back()
+        del scorer
+        common.give_back()
 
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(work, "lang string, margin double, n_words long, accepted boolean")(text)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, get_blob, materialize, mix, put_blob, row_keys, shared_dir, word_hashes
+from .common import arrow_slices, get_blob, give_back, materialize, mix, put_blob, row_keys, shared_dir, word_hashes
 from .urlfilter import bloom
 
 #: Words of an n-gram, least Jaccard similarity of a pair.
@@ -204,6 +204,17 @@ class _Ranges:
         return Table(folder, bits, layers)
 
 
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names and how often each is there; empties the list."""
+    names = np.concatenate(held)
+    held.clear()
+    names.sort()
+    new = np.ones(len(names), bool)
+    np.not_equal(names[1:], names[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    return names[at], np.diff(at, append=len(names)).astype(np.uint32)
+
+
 def frequencies(docs: DataFrame, ranges: _Ranges, n: int, folder: str) -> Table:
     """In how many sets each n-gram is, four codes to a doubling from 1 (two sets) on; a class counts once a task."""
 
@@ -215,12 +226,12 @@ def frequencies(docs: DataFrame, ranges: _Ranges, n: int, folder: str) -> Table:
                 held.append(g[np.repeat(new, sizes)] >> _U(64 - NAME_BITS))
                 size += len(held[-1])
                 if size > BUFFER:
-                    names, k = np.unique(np.concatenate(held), return_counts=True)
-                    yield ranges.emit(names, k.astype(np.uint32))
-                    held, size = [], 0
+                    yield ranges.emit(*_counted(held))
+                    size = 0
         if size:
-            names, k = np.unique(np.concatenate(held), return_counts=True)
-            yield ranges.emit(names, k.astype(np.uint32))
+            yield ranges.emit(*_counted(held))
+        del sets
+        give_back()
 
     def merge(names, counts):
         names, at = np.unique(names, return_inverse=True)
@@ -253,6 +264,7 @@ def with_partners(docs: DataFrame, ranges: _Ranges, frequency: Table, n: int, th
 
         def out():
             names, p, i = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order = np.argsort(names, kind="stable")
             return ranges.emit(names[order], p[order], i[order])
 
@@ -565,7 +577,7 @@ def candidates(every: DataFrame, frequency: Table, threshold: float = THRESHOLD,
                     held, size = [], 0
             if size:
                 yield _batch(blocks, held)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     sent = every.where("n_blocks > 0").select("cls", "size", "n_blocks", "point", "grams", "places").mapInArrow(send, "part long, blob binary")
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(join, "a long, b long")
