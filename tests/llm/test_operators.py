@@ -353,6 +353,17 @@ def test_repeats_are_removed_once(spark):
     assert shared in left[1] and shared not in left[2] and shared not in left[4] and left[3] == made[2][1]
 
 
+def test_texts_without_repeats_stay_out_of_the_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    shared, sent, same = word(60), [], substrings._same
+    made = [(i, word(80)) for i in range(400)] + [(400, f"{word(3)} {shared}"), (401, f"{shared} {word(3)}")]
+    monkeypatch.setattr(substrings, "_same", lambda left, right, how="inner": (sent.append(left.count()), same(left, right, how))[1])
+    got = rows(substrings.repeated_passages(spark.createDataFrame(made, "doc_id long, text string")), "doc_id")
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(400, 60), (401, 60)]
+    assert 2 <= sent[0] < 100
+
+
 def test_first_pass_loses_nothing():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 40, 900).astype(np.uint64)

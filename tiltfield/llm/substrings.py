@@ -23,12 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, materialize, mix, row_key, shared_dir, slices
+from .common import HashCache, arrow_slices, give_back, materialize, mix, row_key, shared_dir
+from .urlfilter import bloom
 
 #: Tokens of a window; tokens of the inner run that stands for it in the first pass.
 WINDOW, GRAM = 50, 25
 #: Documents with one least run from which its windows are salted; salts.
 HOT, SALTS = 50_000, 256
+#: Characters of text that a task works on at once; token hashes that it keeps.
+SLICE, CACHE = 1 << 20, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 
@@ -81,7 +84,7 @@ class _Tokens:
     """Token hashes of texts; tokens are runs of characters other than ASCII white space."""
 
     def __init__(self):
-        self.cache = HashCache()
+        self.cache = HashCache(CACHE)
 
     def __call__(self, text: str) -> np.ndarray:
         parts = text.encode("utf-8", "surrogatepass").split()
@@ -94,10 +97,9 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def work(batches):
         tokens = _Tokens()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in arrow_slices(batch.column(2), SLICE):
                 runs, counts = [], []
-                for t in texts[a:b]:
+                for t in batch.column(2)[a:b].to_pylist():
                     every = rolling(tokens(t), gram)
                     low = np.unique(least(every, window - gram + 1))
                     every.sort()
@@ -108,6 +110,8 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     [batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8))],
                     names=["key", "doc_id", "g", "n"],
                 )
+        del tokens
+        give_back()
 
     return docs.mapInArrow(work, f"key long, doc_id {_kind(docs)}, g long, n byte")
 
@@ -125,11 +129,11 @@ def _second_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def work(batches):
         tokens = _Tokens()
         for batch in batches:
-            keys, texts, runs, hot = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
-            for a, b in slices(texts, 1 << 20):
+            keys, texts, runs, hot = batch.column(0).to_numpy(), batch.column(2), batch.column(3), batch.column(4)
+            for a, b in arrow_slices(texts, SLICE):
                 out = []
                 for i in range(a, b):
-                    ids = tokens(texts[i])
+                    ids = tokens(texts[i].as_py())
                     low = least(rolling(ids, gram), window - gram + 1)
                     at = np.flatnonzero(_among(low, runs[i]))
                     salt = np.where(_among(low[at], hot[i]), keys[i] % SALTS, -1)
@@ -140,6 +144,8 @@ def _second_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     [batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(x.astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int16))],
                     names=["key", "doc_id", "pos", "h", "x", "salt"],
                 )
+        del tokens
+        give_back()
 
     return docs.mapInArrow(work, f"key long, doc_id {_kind(docs)}, pos int, h long, x int, salt short")
 
@@ -205,6 +211,11 @@ def intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int
     runs = materialize(_first_pass(texts, window, gram), folder, "runs")
     again = materialize(runs.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g", (F.col("n") > hot).alias("hot")), folder, "again")
     wanted = runs.select("key", "doc_id", "g").join(again, "g").groupBy("key", "doc_id").agg(F.collect_set("g").alias("runs"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
+    wanted = materialize(wanted, folder, "wanted")
+    # texts without a repeated run, but for a few that the filter takes in falsely, stay out of the shuffle
+    names = [F.col("key").alias("a"), F.xxhash64("key").alias("b")]
+    level = bloom(wanted.select(*names).distinct(), wanted.count(), 0.02, f"{folder}/held")
+    texts = texts.where(level.column(*names))
     # one row for each name: a row that is repeated in full is one document
     held = _same(texts, wanted).dropDuplicates(["key", "doc_id"]).select("key", "doc_id", "text", "runs", "hot")
     windows = _second_pass(held, window, gram)
