@@ -4,7 +4,7 @@ import corpus_pipeline
 from conftest import rows
 from test_operators import odd
 
-from tiltfield.llm import common
+from tiltfield.llm import common, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,14 @@ def test_stages_take_odd_and_empty_rows(spark):
             docs = spark.read.parquet(f"{folder}/{name}")
             assert name == "bpe" or docs.columns == before
         assert (docs.count() == 0) == empty
+
+
+def test_mixing_decides_shard_and_position_of_the_tokens(spark):
+    folder = common.shared_dir(spark)
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{folder}/in")
+    docs = spark.read.parquet(f"{folder}/in")
+    mixing.mixed_documents(docs, shard_rows=64).write.parquet(f"{folder}/mixed")
+    place = lambda df: sorted((r["doc_id"], r["shard"], r["position"]) for r in rows(df))
+    tokens = place(corpus_pipeline.tokenize(spark, spark.read.parquet(f"{folder}/mixed"), SF))
+    assert tokens == place(mixing.mix_rows(docs, shard_rows=64)) != place(corpus_pipeline.tokenize(spark, docs, SF))
+    assert len({s for _, s, _ in tokens}) > 2 and len(tokens) == docs.count()

@@ -60,13 +60,13 @@ def decode(ids, ranks_path: str = RANKS) -> bytes:
 SCHEMA = "doc_id long, tokens array<int>, n_tokens int, n_bytes long, decoded_ok boolean"
 
 
-def encode_documents(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, tokens, n_tokens, n_bytes, decoded_ok`` for each row of ``docs``.
 
     Every row is encoded whole and decoded again; ``decoded_ok`` says that the bytes
     agree. A null text gives null in all but ``doc_id``, an empty one an empty list.
-    Repeated rows and null ids are rows like others; other columns are ignored. An
-    empty table gives an empty result. One narrow pass, no shuffle.
+    Repeated rows and null ids are rows like others; the columns in ``keep`` follow as
+    they are, others are ignored. An empty table gives an empty result. One narrow pass, no shuffle.
     """
 
     def work(batches):
@@ -87,11 +87,12 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int
                     size.append(len(raw))
                     ok.append(enc.decode_bytes(found) == raw)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array(tokens, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(ok, pa.bool_())],
-                    names=["doc_id", "tokens", "n_tokens", "n_bytes", "decoded_ok"],
+                    [ids[a:b], pa.array(tokens, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(ok, pa.bool_()), *(c[a:b] for c in batch.columns[2:])],
+                    names=["doc_id", "tokens", "n_tokens", "n_bytes", "decoded_ok", *keep],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    docs = docs.select("doc_id", "text", *keep)
+    return docs.mapInArrow(work, ", ".join([SCHEMA, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def decode_tokens(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:

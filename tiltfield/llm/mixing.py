@@ -114,6 +114,11 @@ def assign(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK
     apart: a run's bound that falls among them moves behind the last. Other columns go along
     inside ``row``. Without rows or positive weights the result is empty.
     """
+    return _assigned(docs, weights, block_rows, shard_rows, seed)[0]
+
+
+def _assigned(docs: DataFrame, weights: dict | None, block_rows: int, shard_rows: int, seed: int) -> tuple[DataFrame, int]:
+    """The rows of ``assign``, and the number of shards."""
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("s"), _order(seed).alias("h"))
     folder = shared_dir(docs.sparkSession)
     counts = {c.s: c.n for c in base.groupBy("s").agg(F.count("*").alias("n")).collect()}
@@ -135,7 +140,8 @@ def assign(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK
             result[at] = shards[np.searchsorted(edges, hashes[at], side="left")]  # edges are last hashes of runs
         return pd.Series(result, index=s.index)
 
-    return base.withColumn("shard", shard_of("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
+    drawn = base.withColumn("shard", shard_of("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
+    return drawn, len(plan.shards)
 
 
 def _bounds(keys: DataFrame, counts: dict, plan: Plan, block_rows: int, folder: str) -> dict:
@@ -192,6 +198,17 @@ def mix_rows(docs: DataFrame, weights: dict | None = None, block_rows: int = BLO
 
 
 def mixed_documents(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """The drawn rows with their own columns, shard by shard, each in its random order."""
-    drawn = assign(docs, weights, block_rows, shard_rows, seed)
-    return drawn.repartition("shard").sortWithinPartitions("shard", "pos_key").select("row.*")
+    """The drawn rows with their own columns: partition k is shard k in its random order; see ``placed``."""
+    drawn, shards = _assigned(docs, weights, block_rows, shard_rows, seed)
+    return drawn.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("pos_key", "row.doc_id", "row.text").select("row.*")
+
+
+def placed(mixed: DataFrame) -> DataFrame:
+    """``doc_id, text, shard, position`` of ``mixed_documents`` that were written to parquet and read again.
+
+    A shard is a file there, named by its partition; ``position`` is a row's place in it, from 0.
+    Files that a writer cut (spark.sql.files.maxRecordsPerFile) are not put together.
+    """
+    meta = mixed.metadataColumn("_metadata")
+    shard = F.regexp_extract(meta.getField("file_name"), r"^part-(\d+)", 1).cast("int")
+    return mixed.select("doc_id", "text", shard.alias("shard"), meta.getField("row_index").alias("position"))
