@@ -207,6 +207,24 @@ def test_collisions_are_generalised_jaccard():
     assert (small.signature(a) == fingerprints._Draws(64).signature(a)).all()
 
 
+def test_signatures_of_many_texts_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["", "?!", "one", *(" ".join(f"w{x}" for x in rng.zipf(1.6, int(rng.integers(1, 300))) % 500) for _ in range(40)), "One, one; Two", "?", ""]
+    words = {w for t in texts for w in common.words_of(t)}
+    for coarse in (False, True):
+        if coarse:  # many equal values: the least name counts
+            exact = fingerprints.draws
+            monkeypatch.setattr(fingerprints, "draws", lambda *a: ((x := exact(*a))[0].round(), x[1]))
+        table = fingerprints._Draws(64)
+        table.hash = {w: common.word_hashes([w])[0][0] for w in words}
+        for part in (250_000, 37):  # texts go part by part
+            monkeypatch.setattr(fingerprints, "PART", part)
+            found, n = fingerprints.signatures(texts)
+            for t, sig, k in zip(texts, found, n):
+                counts = Counter(common.words_of(t))
+                assert k == len(counts) and sig.tolist() == (table.signature(counts).tolist() if counts else [])
+
+
 # --- 4: top-k ---
 
 

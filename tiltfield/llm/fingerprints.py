@@ -14,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _WORD, HashCache, mix, odd_constants, slices
+from .common import HashCache, arrow_slices, give_back, mix, odd_constants, word_hashes
 
 SAMPLES = 64
 SEED = 17
+#: Characters of text that a task works on at once; terms whose draws it holds, and makes at once.
+SLICE, PART, STEP = 2 << 20, 250_000, 512
+_MANY = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _uniform(h: np.ndarray, lane: int, samples: int) -> np.ndarray:
@@ -33,12 +36,12 @@ def draws(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tu
     b = _uniform(hashes, 5, samples)
     t = np.floor(np.log(weights)[:, None] / r + b)
     ln_a = ln_c - r * (t - b) - r
-    name = mix(hashes[:, None] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    name = mix(hashes[:, None] + t.astype(np.int64).astype(np.uint64) * _MANY)
     return ln_a.astype(np.float32), name.view(np.int64)
 
 
 class _Draws:
-    """(term, count) -> row of its draws; filled in whole batches, bounded."""
+    """Text by text, from counts by word: what ``signatures`` is tested against."""
 
     def __init__(self, samples: int, limit: int = 60_000):
         self.samples, self.limit, self.row = samples, limit, {}
@@ -80,18 +83,61 @@ class _Draws:
         return best, name
 
 
-def text_terms(text: str, cache: dict) -> Counter:
-    """Counts of the lower-cased letter and digit runs of a text."""
-    out: Counter = Counter()
-    for token, n in Counter(text.split()).items():
-        words = cache.get(token)
-        if words is None:
-            if len(cache) >= 200_000:
-                cache.clear()
-            words = cache[token] = _WORD.findall(token.lower())
-        for w in words:
-            out[w] += n
-    return out
+def _names(hashes: np.ndarray, weights: np.ndarray, lanes: np.ndarray, samples: int) -> np.ndarray:
+    """The names that ``draws`` gives, of single (term, weight, sample): arrays of one length."""
+
+    def uniform(lane: int) -> np.ndarray:
+        bits = mix((hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * odd_constants(samples, SEED + lane)[lanes])
+        return ((bits >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+
+    t = np.floor(np.log(weights) / -np.log(uniform(1) * uniform(2)) + uniform(5))
+    return mix(hashes + t.astype(np.int64).astype(np.uint64) * _MANY).view(np.int64)
+
+
+def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words (see words_of) of all texts on end, their counts, and where each text's begin."""
+    h, _, begin = word_hashes(texts)
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    new[begin[:-1][begin[:-1] < len(h)]] = True
+    at = np.flatnonzero(new)
+    return h[at], np.diff(at, append=len(h)), np.searchsorted(at, begin)
+
+
+def signatures(texts: list[str], samples: int = SAMPLES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's signature (empty without words), and its number of terms. In a part, draws of equal (term, count) are made once."""
+    h, n, begin = term_counts(texts)
+    lanes, size = np.arange(samples), np.diff(begin)
+    some = np.flatnonzero(size)
+    start, stop = begin[some], begin[some + 1]
+    best, term, tied = np.full((len(some), samples), np.inf, np.float32), np.zeros((len(some), samples), np.int64), []
+    for lo in range(0, len(h), PART):
+        hi = min(lo + PART, len(h))
+        _, first, row = np.unique(mix(h[lo:hi] ^ mix(n[lo:hi].astype(np.uint64))), return_index=True, return_inverse=True)
+        ln_a = np.empty((len(first), samples), np.float32)
+        for i in range(0, len(first), STEP):
+            at = lo + first[i : i + STEP]
+            ln_a[i : i + STEP] = draws(h[at], n[at].astype(np.float64), samples)[0]
+        for k in range(int(np.searchsorted(stop, lo, "right")), int(np.searchsorted(start, hi))):
+            a, b = max(lo, int(start[k])), min(hi, int(stop[k]))
+            own = ln_a[row[a - lo : b - lo]]
+            least = own.argmin(0)
+            value = own[least, lanes]
+            tie, again = own == value, value == best[k]
+            if np.count_nonzero(tie) > samples or again.any():
+                tied += [(k, j, a + np.flatnonzero(tie[:, j]), value[j]) for j in np.flatnonzero((tie.sum(0) > 1) | again)]
+            less = value < best[k]
+            best[k, less], term[k, less] = value[less], a + least[less]
+    name = _names(h[term.ravel()], n[term.ravel()].astype(np.float64), np.tile(lanes, len(some)), samples).reshape(-1, samples)
+    for k, j, at, value in tied:  # of equal values the least name counts, in whatever order terms come
+        if value == best[k, j]:
+            name[k, j] = min(name[k, j], _names(h[at], n[at].astype(np.float64), np.full(len(at), j), samples).min())
+    out: list = [np.empty(0, np.int64)] * len(texts)
+    for k, i in enumerate(some.tolist()):
+        out[i] = name[k]
+    return out, size
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -104,20 +150,14 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
 
     def work(batches):
-        table, cache = _Draws(samples), {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sigs, n = [], []
-                for text in texts[a:b]:
-                    if text is None:
-                        sigs.append(None)
-                        n.append(None)
-                        continue
-                    counts = text_terms(text, cache)
-                    sigs.append(table.signature(counts) if counts else np.empty(0, np.int64))
-                    n.append(len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_terms", "signature"])
+            for a, b in arrow_slices(batch.column(1), SLICE):
+                texts = batch.column(1)[a:b].to_pylist()
+                sigs, n = signatures([t or "" for t in texts], samples)
+                null = np.array([t is None for t in texts])
+                sigs = [None if gone else s for s, gone in zip(sigs, null)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n.astype(np.int32), mask=null), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_terms", "signature"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_terms int, signature array<long>")
