@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tiltfield.llm import bpe, common, fingerprints, langid, lmscore, mixing, ngramjoin, queries, substrings, topk, toxicity, urlfilter
+from tiltfield.llm import bpe, common, eliasfano, fingerprints, langid, lmscore, mixing, ngramjoin, queries, substrings, topk, toxicity, urlfilter
 from tiltfield.llm.eliasfano import EliasFano, pack, unpack
 
 SF, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -111,6 +111,26 @@ def test_elias_fano():
         assert (e.successor(q, a, b) == [i + np.searchsorted(v[i:j], x) for x, i, j in zip(q, a, b)]).all()
 
 
+def test_select_in_words():
+    rng = np.random.default_rng(2)
+    full = (1 << 64) - 1
+    for w in [1, 1 << 63, full, full - 1, full >> 1, *rng.integers(0, full, 60, np.uint64, True).tolist(), *(rng.integers(0, full, 20, np.uint64) & rng.integers(0, full, 20, np.uint64) & rng.integers(0, full, 20, np.uint64)).tolist()]:
+        places = [p for p in range(64) if w >> p & 1]
+        assert eliasfano._select_in_words(np.full(len(places), w, np.uint64), np.arange(len(places))).tolist() == places
+
+
+def test_elias_fano_finds_what_is_there():
+    rng = np.random.default_rng(5)
+    for n, top in ((1, 0), (1, 5), (10, 30), (1000, 10**9), (4000, 4100), (3000, 2**50)):
+        v = np.sort(rng.choice(top + 1, n, replace=False)) if top < 10**5 else np.unique(rng.integers(0, top + 1, n))
+        e = EliasFano(unpack(np.frombuffer(pack(EliasFano.build(v, "x")), np.uint8)), "x")
+        q = np.concatenate([rng.integers(0, top + 10, 300), rng.choice(v, 300)])
+        a = rng.integers(0, len(v) + 1, 600)
+        b = np.minimum(len(v), a + rng.integers(0, len(v) + 1, 600))
+        want = [i + np.searchsorted(v[i:j], x) for x, i, j in zip(q, a, b)]
+        assert e.find(q, a, b).tolist() == [k if k < j and v[k] == x else -1 for x, j, k in zip(q, b, want)]
+
+
 def brute_lm(texts):
     docs = [common.words_of(t) if t else [] for t in texts]
     one = Counter(w for d in docs for w in d)

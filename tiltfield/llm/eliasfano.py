@@ -28,17 +28,22 @@ def unpack(blob: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+_U = np.uint64
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the rank-th set bit of a byte, at rank * 256 + byte (7 if there is none).
+_IN_BYTE = np.array([next((p for p in range(8) if x >> p & 1 and (x & ((1 << p) - 1)).bit_count() == r), 7) for r in range(8) for x in range(256)], np.uint8)
+
+
 def _select_in_words(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th set bit of each 64-bit word: halves are counted and dropped."""
-    place, rank = np.zeros(len(words), np.int64), rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = words & np.uint64((1 << width) - 1)
-        count = np.bitwise_count(low).astype(np.int64)
-        up = rank >= count
-        rank -= count * up
-        place += up * width
-        words = np.where(up, words >> np.uint64(width), low)
-    return place
+    """Place of the rank-th set bit of each 64-bit word, which must have so many: bytes' sums find its byte, a table its bit."""
+    rank = rank.astype(_U)
+    sums = words - ((words >> _U(1)) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # set bits up to each byte
+    # bytes whose bits up to them are at most rank come before
+    before = np.bitwise_count(((rank * _EACH | _TOPS) - sums) & _TOPS).astype(_U) << _U(3)
+    inside = rank - ((sums << _U(8)) >> before & _U(255))
+    return (before + _IN_BYTE[(inside << _U(8)) | (words >> before & _U(255))]).astype(np.int64)
 
 
 class EliasFano:
@@ -113,3 +118,33 @@ class EliasFano:
             b[live] = np.where(less, b[live], mid)
             live = live[a[live] < b[live]]
         return a
+
+    def find(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Place in [first, last), whose values differ, of value x; -1 if it isn't there."""
+        if not self.n:
+            return np.full(len(x), -1, np.int64)
+        x = x.astype(np.int64)
+        h = x >> self.low_bits
+        past = h >= int(self.zeros[-1]) + 64 - int(self.high[-1]).bit_count()
+        h[past] = 0
+        # values with these high bits lie between two zeros, of which the second mostly is in the first one's word
+        zero = self._zero(np.maximum(h - 1, 0))
+        rest = (~self.high[zero >> 6] >> (zero & 63).astype(_U)) >> _U(1)
+        stop = zero + 1 + np.bitwise_count((rest & (~rest + _U(1))) - _U(1)) - h
+        far = np.flatnonzero((rest == 0) | (h == 0))
+        stop[far] = self._zero(h[far]) - h[far]
+        a, stop = np.maximum(np.where(h > 0, zero - h + 1, 0), first), np.minimum(stop, last)
+        stop[past] = 0
+        low, b = x.astype(np.uint64) & np.uint64((1 << self.low_bits) - 1), stop.copy()
+        live = np.flatnonzero(a < b)
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            less = self._low(mid) < low[live]
+            a[live] = np.where(less, mid + 1, a[live])
+            b[live] = np.where(less, b[live], mid)
+            live = live[a[live] < b[live]]
+        at = np.flatnonzero(a < stop)
+        at = at[self._low(a[at]) == low[at]]
+        out = np.full(len(x), -1, np.int64)
+        out[at] = a[at]
+        return out

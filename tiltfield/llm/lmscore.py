@@ -142,16 +142,15 @@ class Reader:
         return self.level[key]
 
     def _children(self, opened, parent, name):
-        """(place or -1) of each parent's child of that name, and the parents' first places."""
+        """(place or -1) of each parent's child of that name, and the parents' first places; equal parents lie together."""
         _, ptr, val = opened
-        a, b = ptr.get(parent), ptr.get(parent + 1)
+        fresh = np.ones(len(parent), bool)
+        np.not_equal(parent[1:], parent[:-1], out=fresh[1:])
+        own, at = parent[fresh], np.cumsum(fresh) - 1
+        a, b = ptr.get(own), ptr.get(own + 1)
         base = np.where(a > 0, val.get(np.maximum(a - 1, 0)) if val.n else 0, 0)
-        k = val.successor(name + base, a, b) if val.n else b
-        hit = np.flatnonzero(k < b)
-        hit = hit[val.get(k[hit]) == (name + base)[hit]]
-        found = np.full(len(parent), -1, np.int64)
-        found[hit] = k[hit]
-        return found, a
+        first = a[at]
+        return val.find(name + base[at], first, b[at]), first
 
     def bigrams(self, v: np.ndarray, w: np.ndarray):
         """For pairs of ids (v known or start, w known or -1): shard, local node or -1, relative name, discounted p, b(v).
