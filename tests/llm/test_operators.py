@@ -513,6 +513,26 @@ def test_large_blocks_and_rtree(monkeypatch):
     assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == {tuple(sorted(p)) for p in want}
 
 
+def test_pairs_gather_where_their_lesser_set_leads(spark):
+    rng = np.random.default_rng(3)
+    made = sorted({(int(min(x)), int(max(x))) for x in rng.integers(0, 90, (150, 2)) if x[0] != x[1]})
+    home = {p: p[0] for p in made}
+    for _ in range(ngramjoin.STEPS):
+        low = defaultdict(list)
+        for (_, b), h in home.items():
+            low[b].append(h)
+        home = {(a, b): min([h, *low[a]]) for (a, b), h in home.items()}
+    df = ngramjoin.gather(spark.createDataFrame(made, "a long, b long"), common.shared_dir(spark))
+    together, want = defaultdict(set), defaultdict(set)
+    for r in rows(df):
+        together[r["block"]].add((r["a"], r["b"]))
+    for p, h in home.items():
+        want[h].add(p)
+    assert sorted(map(sorted, together.values())) == sorted(map(sorted, want.values())) and len(want) < 60
+    joins = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins <= 4, joins  # not one more for each use of each step
+
+
 def test_sketches_lose_nothing():
     rng = np.random.default_rng(9)
     sets = []

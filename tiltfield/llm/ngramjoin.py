@@ -606,13 +606,15 @@ def _batch(blocks: _Blocks, held: list) -> pa.RecordBatch:
 # --- verification ---
 
 
-def gather(pairs: DataFrame, most: int = HOT) -> DataFrame:
+def gather(pairs: DataFrame, folder: str, most: int = HOT) -> DataFrame:
     """``block, a, b``: each pair with the gathering in which it is verified, of at most about 2 * ``most`` sets."""
-    # from a set to its least neighbour, and on from there: most of a dense group meets at one
-    home = pairs.withColumn("home", F.col("a"))
-    for _ in range(STEPS):
-        low = home.groupBy("b").agg(F.min("home").alias("low")).withColumnRenamed("b", "a")
-        home = home.join(low, "a", "left").select("a", "b", F.least("home", F.coalesce("low", "home")).alias("home"))
+    # from a set to its least neighbour, and on from there: most of a dense group meets at one; where a pair goes hangs on
+    # its lesser set alone, so that a table of sets goes from step to step, not all pairs
+    low = pairs.groupBy("b").agg(F.min("a").alias("home"))
+    for step in range(STEPS):
+        low = materialize(low.withColumnRenamed("b", "a"), folder, f"home{step}")
+        home = pairs.join(low, "a", "left").select("a", "b", F.coalesce("home", "a").alias("home"))
+        low = home.groupBy("b").agg(F.min("home").alias("home"))
     sets = home.select("home", F.col("a").alias("name")).unionByName(home.select("home", F.col("b").alias("name"))).distinct().groupBy("home").agg(F.count("*").alias("n"))
     large = sets.where(F.col("n") > most).select("home", F.ceil(F.col("n") / most).alias("chunks"))
     chunk = lambda c: F.pmod(F.xxhash64(c), F.coalesce("chunks", F.lit(1)))
@@ -689,7 +691,7 @@ def verify(pairs: DataFrame, every: DataFrame, reps: DataFrame, docs: DataFrame,
     travel to it once each, with its pairs behind them; a Bloom filter keeps texts that
     are in no pair out of the shuffle.
     """
-    pairs = materialize(gather(pairs, most), folder, "gathered")
+    pairs = materialize(gather(pairs, folder, most), folder, "gathered")
     pairs = materialize(sift(pairs, every, threshold), folder, "sifted")
     ends = pairs.select("block", F.col("a").alias("name")).unionByName(pairs.select("block", F.col("b").alias("name"))).distinct()
     ends = materialize(ends.join(reps.select("name", "cls", "m.k1", "m.k2"), "name").drop("name"), folder, "ends")
