@@ -635,3 +635,11 @@ def test_a_tiny_source_thins_no_other(spark):
     made = [(i, f"t{i}", None if i < 5 else "ab"[i % 10 == 0]) for i in range(3000)]
     got = rows(mixing.mix_rows(spark.createDataFrame(made, "doc_id long, text string, source string"), shard_rows=256))
     assert sorted(r["doc_id"] for r in got) == list(range(3000)) and len({r["shard"] for r in got}) > 1
+
+
+def test_mixing_takes_one_python_worker_a_task(spark, monkeypatch):
+    docs = odd(spark)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # whose rows pass through workers of their own
+    for out in (mixing.mixed_documents(docs), mixing.mixed_documents(docs.withColumn("source", F.lit(None).cast("string")))):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert out.count() == docs.count()

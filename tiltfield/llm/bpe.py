@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow_slices
 
 #: Public pre-split pattern of the byte-level rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,10 +72,10 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int
     def work(batches):
         enc = encoding(ranks_path)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices(texts):
+            ids = batch.column(0)
+            for a, b in arrow_slices(batch.column(1)):
                 tokens, n, size, ok = [], [], [], []
-                for text in texts[a:b]:
+                for text in batch.column(1)[a:b].to_pylist():
                     if text is None:
                         for out in (tokens, n, size, ok):
                             out.append(None)

@@ -19,8 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import get_blob, put_blob, shared_dir
 
@@ -140,7 +142,8 @@ def _assigned(docs: DataFrame, weights: dict | None, block_rows: int, shard_rows
             result[at] = shards[np.searchsorted(edges, hashes[at], side="left")]  # edges are last hashes of runs
         return pd.Series(result, index=s.index)
 
-    drawn = base.withColumn("shard", shard_of("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
+    # else the filter would be pushed below and the shard found twice, by two Python workers a task
+    drawn = base.withColumn("shard", shard_of.asNondeterministic()("s", "h")).where("shard >= 0").select("row", "shard", F.xxhash64(F.lit(seed + 1), "h").alias("pos_key"))
     return drawn, len(plan.shards)
 
 
@@ -153,9 +156,11 @@ def _bounds(keys: DataFrame, counts: dict, plan: Plan, block_rows: int, folder:
     order = {s: i for i, s in enumerate(plan.sources)}
     bits = {s: max(0, int(counts[s] // CELL_ROWS).bit_length()) for s in order}
     kind = keys.schema["s"].dataType.simpleString()
-    known = spark.createDataFrame([(s, i, 64 - bits[s]) for s, i in order.items()], f"s {kind}, i int, shift int") if order else None
-    if known is None:
+    if not order:
         return {}
+    # Arrow tables, since rows and pandas frames would pass through a second set of Python workers, which stays
+    names = pa.array(list(order), to_arrow_type(keys.schema["s"].dataType))
+    known = spark.createDataFrame(pa.table({"s": names, "i": list(order.values()), "shift": [64 - bits[s] for s in order]}), f"s {kind}, i int, shift int")
     # as many rows as sources; a shift by 64 would be none
     cell = F.when(F.col("shift") < 64, F.expr("shiftright(h, shift)")).otherwise(F.lit(0).cast("long"))
     cells = keys.join(F.broadcast(known), keys["s"].eqNullSafe(known["s"])).select("i", cell.alias("b"), "h")
@@ -174,7 +179,7 @@ def _bounds(keys: DataFrame, counts: dict, plan: Plan, block_rows: int, folder:
         files[s] = k
     if not asked:
         return {}
-    ask = spark.createDataFrame(pd.concat(asked), "i int, b long, r long, shard int")
+    ask = spark.createDataFrame(pa.Table.from_pandas(pd.concat(asked), preserve_index=False), "i int, b long, r long, shard int")
     ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("i", "b").orderBy("h")).cast("long"))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
