@@ -643,3 +643,42 @@ def test_mixing_takes_one_python_worker_a_task(spark, monkeypatch):
     for out in (mixing.mixed_documents(docs), mixing.mixed_documents(docs.withColumn("source", F.lit(None).cast("string")))):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
         assert out.count() == docs.count()
+
+
+# --- cost of the first two stages ---
+
+
+def test_language_scorer_scores_no_known_word_again(monkeypatch):
+    rng, asked = np.random.default_rng(5), []
+    grams = {g: {} for g in langid.GRAMS} | {1: {c: (-1.0, -2.0) for c in "thecatdogü "}, 2: {"th": (-1.5, -0.5), "at": (-0.25, -3.0)}}
+    model = langid.Model(("x", "y"), {"the": (-0.5, -4.0), "cat": (-1.25, -1.0), "über": (-2.0, -0.125), "zzz": (-3.0, -3.5)}, grams)
+    some = ["the", "The,", "(CAT)", "über!", "ÜBER", "zzz", "the-cat", "cat's", "thth", "batx.", "qqq", "12", "--", "7the7", "ÉÉ"]
+    texts = [" ".join(rng.choice(some, n)) for n in (0, 1, 5, 40, 300)]
+
+    def brute(text):
+        row = np.zeros(5)
+        for w in langid._LETTERS.findall(text.lower()):
+            v = model.word(w)
+            row += [1, 0, 0, 0, 0] if v is None else [1, 1, any(c in grams[1] for c in w), *v]
+        return row
+
+    wanted = [brute(t) for t in texts]
+    word = langid.Model.word
+    monkeypatch.setattr(langid.Model, "word", lambda self, w: asked.append(w) or word(self, w))
+    for limit in (4, 1000):
+        scorer = langid._Scorer(model, limit)
+        assert np.allclose([scorer.text(t) for t in texts], wanted, atol=1e-9)
+    asked.clear()
+    langid._Scorer(model).text("the The, (CAT) über! ÜBER zzz 7the7 12 --")
+    assert not asked
+
+
+def test_ngram_sets_are_found_of_few_texts_at_once(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(i % 300)) for i in range(2000)] + ["", "one", LONG]
+    sizes, hashes = [], ngramjoin.word_hashes
+    monkeypatch.setattr(ngramjoin, "word_hashes", lambda part: sizes.append(sum(map(len, part[:-1]))) or hashes(part))
+    grams, size = ngramjoin._Grams(2).many(texts)
+    assert max(sizes) < 1 << 18
+    alone = [ngramjoin._Grams(2).many([t]) for t in texts]
+    assert (grams == np.concatenate([g for g, _ in alone])).all() and size.tolist() == [int(n[0]) for _, n in alone]
+    assert [len(x) for x in ngramjoin._Grams(2).many([])] == [0, 0]

@@ -204,13 +204,18 @@ def slices(texts: list, limit: int = SLICE_BYTES):
         yield start, len(texts)
 
 
-def arrow_slices(texts: pa.Array, limit: int = SLICE_BYTES):
-    """The same over an Arrow column, before any text becomes an object; memory that is free goes back."""
+def arrow_slices(texts: pa.Array, limit: int = SLICE_BYTES, back: int = 0):
+    """The same over an Arrow column, before any text becomes an object.
+
+    Memory that is free goes back after each slice, or each ``back`` bytes of text and at the end.
+    """
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
-    start = 0
+    start = given = 0
     upto = np.cumsum(size)
     while start < len(size):
-        stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit)) + 1
-        yield start, min(stop, len(size))
+        stop = min(len(size), int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit)) + 1)
+        yield start, stop
         start = stop
-        give_back()
+        if stop == len(size) or upto[stop - 1] - given >= back:
+            give_back()
+            given = upto[stop - 1]

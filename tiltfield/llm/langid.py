@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ MIN_MARGIN = 0.02
 MIN_SCORED = 0.5
 HALF = 0.5
 _LETTERS = regex.compile(r"\p{L}+")
+#: ASCII characters that are no letters.
+_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 
 
 @dataclass(frozen=True)
@@ -42,14 +45,22 @@ class Model:
         padded = f" {word} "
         for n in GRAMS:
             table = self.grams[n]
-            found = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
+            found = list(filter(None, [table.get(padded[i : i + n]) for i in range(len(padded) - n + 1)]))
             if found:
                 return tuple(sum(x) / len(found) for x in zip(*found))
         return None
 
+    @functools.cached_property
+    def seed(self) -> tuple[dict[str, int], np.ndarray]:
+        """Number of each word of the model, and their rows of _Scorer; made once a worker."""
+        rows = np.ones((len(self.words), 3 + len(self.langs)))
+        rows[:, 2] = [self.known(w) for w in self.words]
+        rows[:, 3:] = np.array(list(self.words.values())).reshape(len(self.words), len(self.langs))
+        return {w: i for i, w in enumerate(self.words)}, rows
+
     def known(self, word: str) -> bool:
         """Whether one of the word's letters is in the model; its padding alone isn't enough."""
-        return any(c in self.grams[1] for c in word)
+        return not self.grams[1].keys().isdisjoint(word)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -110,23 +121,38 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
 
 class _Scorer(dict):
-    """White-space token -> row of [words, scored words, words known by a letter, score of each language]."""
+    """White-space token -> row of [words, scored words, words known by a letter, score of each language].
+
+    The model's words are there from the start; ``limit`` tokens besides them are held at a time.
+    """
+
+    def __init__(self, model: Model, limit: int = 100_000):
+        self.known, rows = model.seed
+        super().__init__(self.known)
+        self.model, self.limit, self.most, self.none = model, limit, len(self.known) + limit, (0,) * len(model.langs)
+        self.rows, self.used = np.concatenate([rows, np.zeros((limit, rows.shape[1]))]), len(rows)
 
-    def __init__(self, model: Model, limit: int = 200_000):
-        super().__init__()
-        self.model, self.limit = model, limit
-        self.rows = np.zeros((limit, 3 + len(model.langs)))
+    def clear(self):
+        super().clear()
+        self.update(self.known)
+        self.used = len(self.known)
 
     def __missing__(self, token):
-        row = np.zeros(3 + len(self.model.langs))
-        for word in _LETTERS.findall(token.lower()):
-            row[0] += 1
-            if (v := self.model.word(word)) is not None:
-                row[1] += 1
-                row[2] += self.model.known(word)
-                row[3:] += v
-        i = self[token] = len(self)
-        self.rows[i] = row
+        low = token.lower()
+        # what is cut off holds no letter, so a word of the model is the token's only word
+        if (i := self.known.get(low.strip(_MARKS))) is None:
+            n = scored = known = 0
+            score = None
+            for word in _LETTERS.findall(low):
+                n += 1
+                if (v := self.model.word(word)) is not None:
+                    scored += 1
+                    known += self.model.known(word)
+                    score = v if score is None else [a + b for a, b in zip(score, v)]
+            i = self.used
+            self.used += 1
+            self.rows[i] = (n, scored, known, *(score or self.none))
+        self[token] = i
         return i
 
     def text(self, text: str) -> np.ndarray:
@@ -135,7 +161,7 @@ class _Scorer(dict):
         step = self.limit // 2  # a longer text goes part by part; the cache may be emptied between
         for s in range(0, len(tokens), step):
             part = tokens[s : s + step]
-            if len(self) + len(part) > self.limit:
+            if len(self) + len(part) > self.most:
                 self.clear()
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0)
         return total

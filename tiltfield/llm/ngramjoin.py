@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, get_blob, give_back, materialize, mix, put_blob, row_keys, shared_dir, word_hashes
+from .common import SLICE_BYTES, arrow_slices, get_blob, give_back, materialize, mix, put_blob, row_keys, shared_dir, slices, word_hashes
 from .urlfilter import bloom
 
 #: Words of an n-gram, least Jaccard similarity of a pair.
@@ -50,6 +50,8 @@ NAME_BITS = 40
 STEPS = 3
 #: N-grams that a task counts at once; characters of text whose n-grams one task merges; bits of a file of frequencies.
 BUFFER, SHARD_CHARS, FILE_BITS = 2_000_000, 32 << 20, 24
+#: Characters of text whose n-grams are found at once.
+CACHE_CHARS = 1 << 17
 _SEED = 41
 _U = np.uint64
 
@@ -64,7 +66,11 @@ class _Grams:
         self.n = n
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The sets of texts laid end to end, and their sizes."""
+        """The sets of texts laid end to end, and their sizes; few texts at once, whose arrays fit a processor's cache."""
+        parts = [self._some(texts[a:b]) for a, b in slices(texts, CACHE_CHARS)] or [self._some(texts)]
+        return np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h, _, start = word_hashes(texts)
         n, words = self.n, np.diff(start)
         text = np.repeat(np.arange(len(texts)), words)
@@ -221,7 +227,7 @@ def frequencies(docs: DataFrame, ranges: _Ranges, n: int, folder: str) -> Table:
     def count(batches):
         sets, held, size = _Sets(n), [], 0
         for batch in batches:
-            for a, b in arrow_slices(batch.column(0), 1 << 20):
+            for a, b in arrow_slices(batch.column(0), 1 << 20, SLICE_BYTES):
                 g, sizes, _, new = sets(batch.column(0)[a:b].to_pylist())
                 held.append(g[np.repeat(new, sizes)] >> _U(64 - NAME_BITS))
                 size += len(held[-1])
@@ -269,7 +275,7 @@ def with_partners(docs: DataFrame, ranges: _Ranges, frequency: Table, n: int, th
             return ranges.emit(names[order], p[order], i[order])
 
         for batch in batches:
-            for a, b in arrow_slices(batch.column(0), 1 << 20):
+            for a, b in arrow_slices(batch.column(0), 1 << 20, SLICE_BYTES):
                 g, sizes, _, new = sets(batch.column(0)[a:b].to_pylist())
                 g, sizes = g[np.repeat(new, sizes)], np.where(new, sizes, 0)
                 who, place, at = prefixes(g, table.get(g)[0], sizes, threshold)
@@ -346,7 +352,7 @@ def features(docs: DataFrame, frequency: Table, partners: Table, n: int = NGRAM,
     def work(batches):
         sets, table, alive = _Sets(n), frequency.again(), partners.again()
         for batch in batches:
-            for a, b in arrow_slices(batch.column(3), 1 << 20):
+            for a, b in arrow_slices(batch.column(3), 1 << 20, SLICE_BYTES):
                 g, size, names, new = sets(batch.column(3)[a:b].to_pylist())
                 owner = np.repeat(np.arange(b - a), size)
                 on = new[owner]
@@ -718,7 +724,7 @@ def verify(pairs: DataFrame, every: DataFrame, reps: DataFrame, docs: DataFrame,
                     now, names, sets, bits, trees = block[s], [], [], None, None
                 if not is_pair[s]:
                     part = texts[s:e]
-                    for x, y in arrow_slices(part, 1 << 20):
+                    for x, y in arrow_slices(part, 1 << 20, SLICE_BYTES):
                         flat, sizes = grams.many(part[x:y].to_pylist())
                         sets += np.split(flat, np.cumsum(sizes)[:-1])
                     names.append(_fixed(batch.column(3)[s:e]))
