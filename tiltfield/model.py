@@ -17,12 +17,13 @@ class ConceptGradient:
 
     ``docs(doc_id, tokens, y)``; ``kv`` a word vector table or a path to one; ``lexicon`` the
     seed words. Documents without a seed context or an outcome are left out of the fit.
+    ``counts`` are those of compute_global_sif over ``docs``, if they are there already.
     """
 
-    def __init__(self, kv, docs: DataFrame, lexicon: Iterable[str], *, l2_normalize_docs: bool = True, use_unit_beta: bool = True, n_pca: int = 20, window: int = 3, sif_a: float = 1e-3) -> None:
+    def __init__(self, kv, docs: DataFrame, lexicon: Iterable[str], *, l2_normalize_docs: bool = True, use_unit_beta: bool = True, n_pca: int = 20, window: int = 3, sif_a: float = 1e-3, counts: tuple[DataFrame, DataFrame] | None = None) -> None:
         self.kv = load_embeddings(docs.sparkSession, kv) if isinstance(kv, str) else kv
         self.docs, self.lexicon, self.window, self.sif_a = docs, sorted(set(lexicon)), window, sif_a
-        vectors = context.build_doc_vectors(docs.select("doc_id", "tokens"), self.kv, self.lexicon, window=window, sif_a=sif_a)
+        vectors = context.build_doc_vectors(docs.select("doc_id", "tokens"), self.kv, self.lexicon, window=window, sif_a=sif_a, counts=counts)
         if l2_normalize_docs:
             vectors = gradient.l2_rows(vectors)
         self.vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
