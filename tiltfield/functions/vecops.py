@@ -31,8 +31,9 @@ def scaled(a: Column, by: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a / max(|a|, TINY)."""
-    length = F.greatest(norm(a), F.lit(TINY))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    # the length is bound to a name: inside the lambda it would be computed again for each element
+    length = F.array(F.greatest(norm(a), F.lit(TINY)))
+    return F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def unit_list(values: Sequence[float]) -> list[float]:
